@@ -171,10 +171,10 @@ def field_of(label: Column, section: Column) -> Column:
     return F.coalesce(in_section, general_field(label))
 
 
-def accent_insensitive(label: str) -> str:
-    """Regex for a label that also accepts any accented form of its letters."""
+def accent_insensitive(label: str, limit: int = 0x10000) -> str:
+    """Regex for a label that also accepts accented forms of its letters, below ``limit``."""
     classes = []
     for char in label:
-        variants = "".join(a for a, b in zip(ACCENTED, BARE) if b.upper() == char)
+        variants = "".join(a for a, b in zip(ACCENTED, BARE) if b.upper() == char and ord(a) < limit)
         classes.append(f"[{char}{char.lower()}{variants}]\\p{{Mn}}*" if char.isalpha() else char)
     return "".join(classes)

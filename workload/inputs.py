@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from fichero.sources.tables import read_table
+
 LINES_PER_FILE = 64
 
 
@@ -15,6 +17,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows get costly text work next."""
+    return read_table(spark, f"{d}/{name}.parquet", *columns)
+
+
 def day(c) -> Column:
     return F.date_format(c, "dd/MM/yyyy")
 

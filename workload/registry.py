@@ -1,5 +1,5 @@
 """All registered queries: name -> (Spark query, equivalent SQL or None)."""
 
-from workload import text_queries
+from workload import quality_queries, text_queries
 
-REGISTERED = {**text_queries.QUERIES}
+REGISTERED = {**text_queries.QUERIES, **quality_queries.QUERIES}

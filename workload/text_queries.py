@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fichero.functions import dates, text
-from workload.inputs import HEADERS_SQL, headers, table
+from workload.inputs import HEADERS_SQL, headers, spread_table, table
 
 
 def _documents(column):
     def query(spark, d):
-        return table(spark, d, "documents").select("doc_id", F.md5(column(F.col("text"))).alias("digest"))
+        return spread_table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(column(F.col("text"))).alias("digest"))
 
     return query
 
@@ -30,7 +30,7 @@ def licence_documents(spark, d):
     name = F.when(
         F.col("o_orderstatus") == "P", F.concat(F.lit("LIC_"), number, F.lit("_99.docx"))
     ).otherwise(F.concat(F.lit("licencia_"), F.col("o_orderkey") % 1000, F.lit(".docx")))
-    return table(spark, d, "orders").select(
+    return spread_table(spark, d, "orders").select(
         F.format_string("%08d_doc", "o_orderkey").alias("file_id"), name.alias("name"),
         F.col("o_orderdate").alias("modified_time"), body.alias("text"), "o_orderkey",
     )
@@ -57,7 +57,7 @@ def report_identifiers(spark, d):
     prefix = F.when(F.col("l_returnflag") == "N", F.lit("rep")).otherwise(F.col("l_partkey").cast("string"))
     tail = F.when(F.col("l_linestatus") == "F", ".pdf").otherwise("_equipo.v2.pdf")
     path = F.concat(F.lit("/qc/2024/"), prefix, tail)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.report_identifier(path).alias("identifier"))
+    return spread_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.report_identifier(path).alias("identifier"))
 
 
 def output_names(spark, d):
@@ -109,7 +109,7 @@ def latest_qc_dates(spark, d):
     first = F.date_format("l_shipdate", "dd/MM/yyyy")
     second = F.date_format(F.date_add("l_shipdate", F.col("l_linenumber") - 4), "d/M/yyyy")
     note = F.concat(F.lit("CC el "), first, F.lit("; repetido "), second, F.lit("; erróneo 31/02/2099; código 1/2/30000"))
-    return table(spark, d, "lineitem").select(
+    return spread_table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", dates.latest_date(note).alias("fecha_cc")
     )
 
