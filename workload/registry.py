@@ -1,5 +1,5 @@
 """All registered queries: name -> (Spark query, equivalent SQL or None)."""
 
-from workload import quality_queries, text_queries
+from workload import extraction_queries, quality_queries, text_queries
 
-REGISTERED = {**text_queries.QUERIES, **quality_queries.QUERIES}
+REGISTERED = {**text_queries.QUERIES, **quality_queries.QUERIES, **extraction_queries.QUERIES}
