@@ -54,7 +54,7 @@ def parsed(spark, d):
 def parsed_replies(spark, d):
     return parsed(spark, d).select(
         "file_id", F.col("licence")["FECHA"].alias("fecha"), F.size("licence").cast("long").alias("n_fields"),
-        F.size(F.from_json(F.col("licence")["EQUIPOS"], x.EQUIPMENT_LIST)).cast("long").alias("n_listed"),
+        F.coalesce(F.size(F.from_json(F.col("licence")["EQUIPOS"], x.EQUIPMENT_LIST)), F.lit(0)).cast("long").alias("n_listed"),
     ).filter("fecha IS NOT NULL")
 
 
@@ -190,7 +190,7 @@ _LISTED = "prio <> '5-LOW'"
 QUERIES = {
     "parsed_replies": (parsed_replies, f"""WITH {FILES_SQL} SELECT file_id, fecha,
         CAST(CASE WHEN {_LISTED} THEN 5 WHEN status = 'F' THEN 7 ELSE 4 END AS BIGINT) AS n_fields,
-        CASE WHEN {_LISTED} THEN n WHEN status = 'P' THEN 0 END AS n_listed FROM files WHERE NOT ({_BROKEN})"""),
+        CASE WHEN {_LISTED} THEN n ELSE 0 END AS n_listed FROM files WHERE NOT ({_BROKEN})"""),
     "failed_documents": (failed_documents, f"WITH {FILES_SQL} SELECT file_id, 'reply is not JSON' AS reason FROM files WHERE {_BROKEN}"),
     "equipment_lists": (equipment_lists, f"""WITH {_ROWS_SQL} SELECT file_id, CAST(item - 1 AS BIGINT) AS pos, MARCA AS marca,
         nullif(SERIE, CASE WHEN prio = '5-LOW' THEN '' END) AS serie FROM rows"""),
