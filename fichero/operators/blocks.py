@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fichero.functions.plan import evaluated_once
 from fichero.functions.text import blank, nonblank, placeholder_empty, py_trim, text_or_empty
 
 
@@ -58,6 +59,11 @@ def row_is_empty(headers: list[str]) -> Column:
     return F.forall(F.array(*[text_or_empty(quoted(h)) for h in headers]), blank)
 
 
+def occupied_rows(master: DataFrame, layout: Layout) -> DataFrame:
+    """Rows with a value; the test is computed first, as filters over many columns optimize badly."""
+    return evaluated_once(master, "_empty", row_is_empty(layout.headers)).filter("NOT _empty").drop("_empty")
+
+
 def block_rows(incoming: DataFrame, master: DataFrame, layout: Layout) -> DataFrame:
     """Master rows of the incoming filing numbers; numbers compare as they are, untrimmed."""
     numbers = incoming.select(F.col("radicado").alias(layout.number)).distinct()
@@ -83,7 +89,7 @@ def block_extents(master: DataFrame, layout: Layout) -> DataFrame:
 
 def free_row_after_block(master: DataFrame, layout: Layout) -> DataFrame:
     """Row right below every block, where that row holds nothing; a row beyond the table is empty too."""
-    occupied = master.filter(~row_is_empty(layout.headers)).select(F.col("row_num").alias("free_row"))
+    occupied = occupied_rows(master, layout).select(F.col("row_num").alias("free_row"))
     probes = block_extents(master.filter(~blank(F.col(layout.number))), layout).select("radicado", (F.col("last_row") + 1).alias("free_row"))
     return probes.join(occupied, "free_row", "left_anti")
 
