@@ -305,7 +305,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, start, end): the bytes of ``docs(row long, _text binary)`` under windows that occur twice or more; ranges may overlap."""
     spark = prepared(docs.sparkSession)
     grams = staged(docs.where(F.octet_length("_text") >= length).mapInArrow(_gram_rows(length), "row long, h long"), "grams")
-    twice = grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below deals both sides out by itself and Spark can split a gram that very many windows share
+    twice = staged(grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     marked = grams.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("twice"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot"))
     parts = partitions(spark)
     runs = docs.join(marked, "row").mapInArrow(_runs(length, parts), "part int, hot boolean, run binary")
