@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from fichero.llm.common import prepared, shared_folder, staged
+from fichero.llm.common import partitions, prepared, shared_folder, staged
 
 #: Smallest payload that is stored once; bytes between two records that are read rather than skipped; bytes of a stretch.
 LEAST, GAP, STRETCH = 1000, 64 << 10, 4 << 20
@@ -133,7 +133,9 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     record_type, refers_to. A record named twice is read twice; an empty index gives an empty table.
     """
     prepared(index.sparkSession)
-    stretches = index.select("file", F.floor(F.col("offset") / STRETCH).alias("stretch"), F.struct("offset", "length").alias("place")).groupBy("file", "stretch").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    stretches = index.select("file", F.floor(F.col("offset") / STRETCH).alias("stretch"), F.struct("offset", "length").alias("place"))
+    # as many tasks as asked for: the few bytes of an index say nothing about the bytes that will be read
+    stretches = stretches.repartition(partitions(index.sparkSession), "file", "stretch").groupBy("file", "stretch").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
     def read(batches):
         for batch in batches:
