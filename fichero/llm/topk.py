@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fichero.llm.common import prepared
 
-#: Vectors in a block of candidates and of queries; the first depth of the walk and its growth.
-CANDIDATES, QUERIES, DEPTH, GROWTH = 8192, 1024, 64, 4
+#: Vectors in a block of candidates and of queries; the first depth of the walk.
+CANDIDATES, QUERIES, DEPTH = 8192, 1024, 16
 _FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 
 
@@ -28,55 +28,68 @@ def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def walk(block: np.ndarray, order: np.ndarray, query: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions met and their scores, a superset of the ``wanted`` best with all their ties. ``order`` sorts each column."""
+    """Positions met and their scores, a superset of the ``wanted`` best with all their ties. ``order[d]`` sorts column d.
+
+    The k-th score of the vectors met so far tells how deep the walk must still go at most, for it can only rise: the
+    first depth whose bound lies below it. The walk goes there at once. Where the lists down to that depth are longer
+    than the block, all of the block is scored.
+    """
     size = len(block)
     up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-    met, scores, depth, done = np.zeros(size, bool), np.full(size, -np.inf), min(DEPTH, size), 0
     if not len(up) and not len(down):
         return np.arange(size), np.zeros(size)
+    depths = np.unique(np.minimum(size, DEPTH * 2 ** np.arange(size.bit_length() + 1)))
+    bounds = block[order[up][:, size - depths], up[:, None]].T @ query[up] + block[order[down][:, depths - 1], down[:, None]].T @ query[down]
+    depth, done, met = int(depths[0]), 0, np.zeros(size, bool)
+    scores = np.full(size, -np.inf)
     while True:
-        fresh = np.zeros(size, bool)
-        fresh[order[size - depth : size - done, up]] = True
-        fresh[order[done:depth, down]] = True
-        at = np.flatnonzero(fresh & ~met)
-        scores[at] = block[at] @ query
-        met[at] = True
-        if depth == size:
-            break
-        bound = block[order[size - depth, up], up] @ query[up] + block[order[depth - 1, down], down] @ query[down]
-        if np.count_nonzero(met) >= wanted and np.partition(scores, size - wanted)[size - wanted] > bound:
+        if depth * (len(up) + len(down)) >= 2 * size:
+            scores, met[:] = block @ query, True
+        else:
+            fresh = np.zeros(size, bool)
+            fresh[order[up, size - depth : size - done]] = True
+            fresh[order[down, done:depth]] = True
+            at = np.flatnonzero(fresh & ~met)
+            scores[at], met[at] = block[at] @ query, True
+        least = np.partition(scores, size - wanted)[size - wanted]
+        enough = int(depths[(bounds < least) | (depths == size)][0])
+        if enough <= depth or met.all():
             break
-        done, depth = depth, min(size, depth * GROWTH)
-    at = np.flatnonzero(met)
+        done, depth = depth, enough
+    at = np.flatnonzero(met & (scores >= least))
     return at, scores[at]
 
 
 def _best(k: int):
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[tuple] = []
         groups = {}
         for length, rows in candidates.groupby(candidates["v"].map(len)):
             ids = rows["id"].to_numpy()
             block = np.floor(64 * np.stack(rows["v"].to_numpy())) if length else np.zeros((len(rows), 0))
             first = np.argsort(ids, kind="stable")
             block, ids = np.ascontiguousarray(block[first]), ids[first]
-            groups[length] = block, ids, np.argsort(block, axis=0, kind="stable")
+            largest = np.abs(block).max() if length else 0.0
+            groups[length] = block, ids, np.ascontiguousarray(np.argsort(block, axis=0, kind="stable").T), largest
         for row, own, v in zip(queries["row"], queries["id"], queries["v"]):
             if len(v) not in groups:
                 continue
-            block, ids, order = groups[len(v)]
+            block, ids, order, largest = groups[len(v)]
             query = np.floor(64 * np.asarray(v, np.float64))
-            exact = not len(v) or np.abs(block).max() * np.abs(query).max() * len(v) < 2**53
-            at, scores = walk(block, order, query, min(len(ids), k + np.count_nonzero(ids == own))) if exact else (np.arange(len(ids)), np.zeros(0))
-            if not exact:  # components too large for doubles: whole numbers of any size, kept within a long
+            same = np.searchsorted(ids, own, "right") - np.searchsorted(ids, own, "left")
+            if not len(v) or largest * np.abs(query).max() * len(v) < 2**53:
+                at, scores = walk(block, order, query, min(len(ids), k + same))
+                best = at[np.lexsort((ids[at], -scores))]
+                best = best[ids[best] != own][:k]
+                values = (block[best] @ query).astype(np.int64)
+            else:  # components too large for doubles: whole numbers of any size, kept within a long
                 q = [int(x) for x in query]
-                scores = np.array([max(_FIRST, min(_LAST, sum(int(a) * b for a, b in zip(r, q)))) for r in block], object)
-            others = ids[at] != own
-            at, scores = at[others], scores[others]
-            best = sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]])) if not exact else np.lexsort((ids[at], -scores))
-            best = best[:k]
-            out.append(pd.DataFrame({"row": row, "query_id": own, "vec_id": ids[at[best]], "score": [int(scores[i]) for i in best]}))
-        return pd.concat(out) if out else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                exact = [max(_FIRST, min(_LAST, sum(int(a) * b for a, b in zip(r, q)))) for r in block]
+                best = np.array(sorted((i for i in range(len(ids)) if ids[i] != own), key=lambda i: (-exact[i], ids[i]))[:k], np.int64)
+                values = np.array([exact[i] for i in best], np.int64)
+            out.append((np.full(len(best), row), np.full(len(best), own), ids[best], values))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+        return pd.DataFrame(dict(zip(("row", "query_id", "vec_id", "score"), columns)))
 
     return run
 
