@@ -128,5 +128,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: every document as often as it has copies, none where it has no copy."""
     copies = staged(mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "copies")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(copies, "_row")
+    # dealt out by row at every size: the rows taken grow with the input and are never sent to every task
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(copies.hint("merge"), "_row")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

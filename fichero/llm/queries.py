@@ -24,10 +24,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without strings of 200 bytes that also start elsewhere."""
-    docs = _table(spark, sf_dir, "documents")
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id")
-    found = suffixes.deduplicated(docs).select("row", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return ids.join(found, "row").drop("row")
+    found = suffixes.deduplicated(_table(spark, sf_dir, "documents"), carried=["doc_id"])
+    return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,4 +195,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id."""
     kept = staged(near_duplicates(docs, id_col, text_col).where("kept").select(F.col("row").alias("_row")), "kept")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    # dealt out by row at every size: the rows kept grow with the input and are never sent to every task
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept.hint("merge"), "_row", "left_semi").drop("_row")

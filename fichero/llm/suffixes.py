@@ -313,45 +313,55 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return runs.groupBy("part", "hot").applyInArrow(_ranges(length), "row long, start long, end long")
 
 
-def _cut(batches):
-    for batch in batches:
-        out = []
-        for data, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist()):
-            data, edges = data or b"", np.zeros(len(data or b"") + 1, np.int64)
-            for span in spans or ():
-                edges[span["start"]] += 1
-                edges[span["end"]] -= 1
-            gone = np.cumsum(edges)[:-1] > 0
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            out.append((len(data), int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[0, gone.view(np.int8)]) == 1)), kept))
-        columns = list(zip(*out)) or [[]] * 4
-        added = [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), *added], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def deduplicated(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept): every text without the bytes of strings of ``length`` bytes that also start elsewhere.
+def _cut(carried: list[str]):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for data, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
+                edges = np.zeros(len(data) + 1, np.int64)
+                for span in spans or ():
+                    edges[span["start"]] += 1
+                    edges[span["end"]] -= 1
+                gone = np.cumsum(edges)[:-1] > 0
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                out.append((len(data), int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[0, gone.view(np.int8)]) == 1)), kept))
+            columns = list(zip(*out)) or [[]] * 4
+            added = [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *added], names=[*carried, *ADDED])
+
+    return run
+
+
+#: The columns that deduplicated() adds.
+ADDED = ["_n_bytes", "_n_removed", "_n_spans", "_kept"]
+
+
+def deduplicated(docs: DataFrame, text_col: str = "text", length: int = LENGTH, carried: list[str] | None = None) -> DataFrame:
+    """The ``carried`` columns of every row (all but the text, unless named) with ``ADDED``: bytes, bytes removed, maximal
+    removed runs, and what is left of the text once strings of ``length`` bytes that also start elsewhere are cut out.
 
     Null texts count as empty; texts shorter than ``length`` stay whole; all copies of a repeated string go, in
-    repeated rows too. ``kept`` is binary, for a cut may fall inside a character. An empty table gives an empty table.
-    ``row`` numbers the rows of the scan, so ``docs`` must be a table read from storage.
+    repeated rows too. ``_kept`` is binary, for a cut may fall inside a character. An empty table gives an empty table.
+    Rows are told apart by their place in the scan, so ``docs`` must be a table read from storage.
     """
     if length < 2 * GRAM or length > 255 * 8:
         raise ValueError(f"length must lie between {2 * GRAM} and {255 * 8}")
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
-    spans = repeats(own, length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return own.join(spans, "row", "left").mapInArrow(_cut, "row long, n_bytes long, n_removed long, n_spans long, kept binary")
+    carried = [c for c in docs.columns if c != text_col] if carried is None else carried
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("_text"))
+    spans = repeats(own, length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("row", "_row")
+    # texts move once for this join, with all that is carried: nothing has to be joined to them again
+    whole = docs.select(F.monotonically_increasing_id().alias("_row"), text.alias("_text"), *carried).join(spans, "_row", "left").drop("_row")
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), *(f"{c} {t}" for c, t in zip(ADDED, ("long", "long", "long", "binary")))])
+    return whole.mapInArrow(_cut(carried), schema)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated strings cut out of its texts (and ``n_chars``, if there is one, counted again).
 
-    Where a cut falls inside a character, what is left of it becomes U+FFFD.
+    Where a cut falls inside a character, what is left of it becomes U+FFFD; a null text becomes the empty one.
     """
-    kept = deduplicated(docs, text_col).select(F.col("row").alias("_row"), "kept", "n_removed")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row")
-    text = F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
-    rows = rows.withColumn(text_col, text)
+    rows = deduplicated(docs, text_col).withColumn(text_col, F.make_valid_utf8(F.col("_kept").cast("string")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length(text_col).cast("long"), F.lit(0).cast("long")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
