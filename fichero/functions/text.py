@@ -90,10 +90,7 @@ def lines(c: Column, limit: int = -1) -> Column:
     return F.split(c, LINE_BREAK, limit)
 
 
-HEAD_LINES = 50
-
-
-def head_lines(c: Column, n: int = HEAD_LINES) -> Column:
+def head_lines(c: Column, n: int) -> Column:
     """First ``n`` lines; the split stops there, so long texts are not cut up whole."""
     return F.slice(lines(c, n + 1), 1, n)
 
@@ -114,25 +111,28 @@ def filing_number_from_name(name: Column) -> Column:
     return _first_group(name, NUMBER_IN_NAME)
 
 
-def filing_number_from_text(text: Column) -> Column:
-    head = F.array_join(head_lines(text), "\n")
+def filing_number_from_text(text: Column, first_lines: int | None = None) -> Column:
+    """Number after its word, else at the start of a line; in the whole text unless ``first_lines`` limits it."""
+    head = text if first_lines is None else F.array_join(head_lines(text, first_lines), "\n")
     return F.coalesce(_first_group(head, NUMBER_AFTER_WORD), _first_group(head, NUMBER_AT_LINE_START))
 
 
-def filing_number(name: Column, text: Column) -> Column:
-    """File name first, then the head of the text; null when neither has a number."""
-    return F.coalesce(filing_number_from_name(name), filing_number_from_text(text))
+def filing_number(name: Column, text: Column, first_lines: int | None = None) -> Column:
+    """File name first, then the text; null when neither has a number."""
+    return F.coalesce(filing_number_from_name(name), filing_number_from_text(text, first_lines))
 
 
-ID_PREFIX = 8
+def id_of_cache_key(key: Column) -> Column:
+    """File id (or stem) of a cache key: all that follows its number."""
+    return F.regexp_extract(key, r"(?s)\A.*?__(.*)\z", 1)
 
 
-def cache_key(number: Column, file_id: Column, name: Column, prefix_len: int = ID_PREFIX) -> Column:
-    """Key of a stored extraction: number + id prefix, or a safe file stem without an id."""
+def cache_key(number: Column, file_id: Column, name: Column) -> Column:
+    """Key of a stored extraction: number + whole file id, or the whole safe file stem without an id."""
     stem = file_stem(name)
-    safe = F.substring(F.regexp_replace(stem, r"[^\p{L}\p{N}_-]", "_"), 1, 16)
+    safe = F.regexp_replace(stem, r"[^\p{L}\p{N}_-]", "_")
     suffix = F.coalesce(
-        F.nullif(F.substring(file_id, 1, prefix_len), F.lit("")),
+        F.nullif(file_id, F.lit("")),
         F.nullif(safe, F.lit("")),
         F.lit("local"),
     )

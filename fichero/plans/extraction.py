@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fichero.functions.labels import literal_map
 from fichero.functions.plan import evaluated_once
-from fichero.functions.text import ID_PREFIX, blank, cache_key, email, nonblank, py_trim
+from fichero.functions.text import blank, cache_key, email, id_of_cache_key, nonblank, py_trim
 from fichero.functions.vocabulary import (
     ABBREVIATIONS, ADMINISTRATIVE_REQUESTS, NOT_RECORDED, QC_BODIES, UNKNOWN_QC_BODY,
 )
@@ -34,10 +34,6 @@ FIELD_MAP = {
     "FECHA DE FABRICACION": "FECHA DE FABRICACIÓN",
 }
 
-# Longest text handed to an extractor, and the shorter one of the third attempt.
-TEXT_BUDGET = 25000
-SHORT_BUDGET = 18000
-
 _JSON = {"allowSingleQuotes": "false"}
 
 
@@ -199,9 +195,11 @@ def rule_extractor(text: str, attempt: int) -> str:
     return json.dumps({**header, "EQUIPOS": equipment}, ensure_ascii=False) if header or equipment else ""
 
 
-def extract_replies(documents: DataFrame, extractor: Extractor = rule_extractor) -> DataFrame:
+def extract_replies(documents: DataFrame, extractor: Extractor = rule_extractor, budget: int | None = None, last_budget: int | None = None) -> DataFrame:
     """(file_id, text) -> (file_id, raw): the user's extractor in Arrow batches, up to three attempts.
 
+    Whole texts go in, unless a caller whose extractor takes no more sets ``budget`` (and ``last_budget`` for the third attempt).
+
     A document whose extractor raises or answers nothing gets a null reply and its reason; it never
     stops the run.
     """
@@ -210,7 +208,7 @@ def extract_replies(documents: DataFrame, extractor: Extractor = rule_extractor)
         reason = "no reply"
         for attempt in range(3):
             try:
-                raw = extractor(text if attempt < 2 else text[:SHORT_BUDGET], attempt)
+                raw = extractor(text[: budget if attempt < 2 else last_budget], attempt)
                 if "{" in (raw or ""):
                     return raw, None
             except Exception as error:  # noqa: BLE001
@@ -224,7 +222,7 @@ def extract_replies(documents: DataFrame, extractor: Extractor = rule_extractor)
                 {"file_id": batch["file_id"], "raw": [a[0] for a in answers], "extract_error": [a[1] for a in answers]}
             )
 
-    return documents.select("file_id", F.substring("text", 1, TEXT_BUDGET).alias("text")).mapInPandas(
+    return documents.select("file_id", "text").mapInPandas(
         run, "file_id string, raw string, extract_error string"
     )
 
@@ -235,7 +233,7 @@ def cached_or_extracted(documents: DataFrame, cache: DataFrame, extractor: Extra
     The anti-join stands before the extractor, so only misses pay for it.
     """
     keyed = documents.withColumn("cache_key", cache_key(F.col("radicado"), F.col("file_id"), F.col("name")))
-    stored = cache.select("cache_key", "licence")
+    stored = cache.groupBy("cache_key").agg(F.max_by("licence", "stored_at").alias("licence"))  # one entry per key
     hits = keyed.join(stored, "cache_key").drop("text").withColumn("reason", F.lit(None).cast("string")).withColumn("from_cache", F.lit(True))
     misses = keyed.join(stored.select("cache_key"), "cache_key", "left_anti")
     replies = parse_replies(extract_replies(misses, extractor))
@@ -264,7 +262,7 @@ def newest_cache(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def without_cached_file(manifest: DataFrame, cache: DataFrame, prefix_len: int = ID_PREFIX) -> DataFrame:
-    """Only-new mode: files whose id prefix has no cache entry yet."""
-    seen = cache.select(F.substring_index("cache_key", "__", -1).alias("_prefix")).distinct()
-    return manifest.join(seen, F.substring("file_id", 1, prefix_len) == F.col("_prefix"), "left_anti")
+def without_cached_file(manifest: DataFrame, cache: DataFrame) -> DataFrame:
+    """Only-new mode: files whose whole id has no cache entry yet."""
+    seen = cache.select(id_of_cache_key(F.col("cache_key")).alias("_cached_id")).distinct()
+    return manifest.join(seen, F.col("file_id") == F.col("_cached_id"), "left_anti")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fichero.functions.text import nonblank
+
 
 def vocabulary_violations(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Rows (vocabulary, value) whose non-blank value is not in its list. Lists are small and fixed in
     production; the size is left to the engine's own broadcast threshold."""
     allowed = vocabulary.select("vocabulary", "value")
-    return values.filter("trim(value) <> ''").join(allowed, ["vocabulary", "value"], "left_anti")
+    return values.filter(nonblank(F.col("value")).isNotNull()).join(allowed, ["vocabulary", "value"], "left_anti")
 
 
 def misplaced_towns(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:

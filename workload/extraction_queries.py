@@ -210,9 +210,9 @@ QUERIES = {
         FECHA_QC AS fecha_cc, FECHA_FABRICACION AS fecha FROM equipment"""),
     "cached_or_extracted": (cached_or_extracted, f"""WITH {FILES_SQL} SELECT file_id, CASE WHEN prio IN ('1-URGENT', '2-HIGH') THEN 'true' ELSE 'false' END AS from_cache,
         fecha, CASE WHEN prio IN ('1-URGENT', '2-HIGH') THEN 'cab' END AS marca FROM files"""),
-    "cache_snapshot": (cache_snapshot, f"""WITH {FILES_SQL} SELECT radicado || '__' || left(file_id, 8) AS cache_key,
+    "cache_snapshot": (cache_snapshot, f"""WITH {FILES_SQL} SELECT radicado || '__' || file_id AS cache_key,
         CASE WHEN min(prio) = '1-URGENT' THEN '2024-01-01T00:00:00Z' ELSE '2024-06-30T00:00:00Z' END AS stored_at, radicado, max(n) AS n_equipment
-        FROM files WHERE prio IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY radicado, left(file_id, 8)"""),
+        FROM files WHERE prio IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY radicado, file_id"""),
     "new_documents": (new_documents, f"WITH {FILES_SQL} SELECT file_id, radicado FROM files WHERE prio NOT IN ('1-URGENT', '2-HIGH')"),
     "house_style": (house_style, f"""WITH {HEADERS_SQL} SELECT radicado, 'ESE ' || n_name AS sede,
         CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'O' THEN 'NO REGISTRA' ELSE RESOLUCION END AS serie,

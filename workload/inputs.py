@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fichero.sources.tables import read_table
 
-LINES_PER_FILE = 64
-
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -27,36 +25,16 @@ def day(c) -> Column:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines cut into licence files of about 64 lines, numbered within the file.
-
-    An order (= filing number) can be of any size; only orders above one file need their line count,
-    and those few are joined back, so a hot order spreads over many files.
-    """
-    li = table(spark, d, "lineitem")
-    big = (
-        li.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
-        .filter(F.col("n_lines") > LINES_PER_FILE)
-        .select("l_orderkey", F.ceil(F.col("n_lines") / LINES_PER_FILE).alias("n_files"))
-    )
-    sub = (F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber")) % F.coalesce("n_files", F.lit(1))
-    order = Window.partitionBy("l_orderkey", "file_no").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
-    )
-    return (
-        li.join(big, "l_orderkey", "left")
-        .withColumn("file_no", sub.cast("long"))
-        .withColumn("item", F.row_number().over(order))
-        .drop("n_files")
-    )
+    """Order lines, numbered within their order: an order is one licence file of its natural size."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    return table(spark, d, "lineitem").withColumn("file_no", F.lit(0).cast("long")).withColumn("item", F.row_number().over(order))
 
 
 LINES_SQL = """
 lines AS (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey, file_no
-           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS item
-  FROM (SELECT *, (l_partkey * 31 + l_suppkey * 17 + l_linenumber)
-               % greatest(1, CAST(ceil(count(*) OVER (PARTITION BY l_orderkey) / 64.0) AS BIGINT)) AS file_no
-        FROM lineitem)
+  SELECT *, CAST(0 AS BIGINT) AS file_no,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS item
+  FROM lineitem
 )"""
 
 

@@ -41,6 +41,12 @@ def filing_numbers(spark, d):
     return docs.select("file_id", text.filing_number(F.col("name"), F.col("text")).alias("radicado"))
 
 
+def head_filing_numbers(spark, d):
+    """The same with a limit, as its feature: only the first 50 lines of a text are read."""
+    docs = licence_documents(spark, d)
+    return docs.select("file_id", text.filing_number(F.col("name"), F.col("text"), first_lines=50).alias("radicado"))
+
+
 def cache_keys(spark, d):
     docs = licence_documents(spark, d)
     number = (F.col("o_orderkey") + 100000).cast("string")
@@ -139,6 +145,12 @@ QUERIES = {
     ),
     "filing_numbers": (
         filing_numbers,
+        """SELECT printf('%08d_doc', o_orderkey) AS file_id,
+             CASE WHEN o_orderstatus = 'P' OR o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')
+                  THEN CAST(o_orderkey + 100000 AS VARCHAR) END AS radicado FROM orders""",
+    ),
+    "head_filing_numbers": (
+        head_filing_numbers,
         """SELECT printf('%08d_doc', o_orderkey) AS file_id,
              CASE WHEN o_orderstatus = 'P' OR o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
                   THEN CAST(o_orderkey + 100000 AS VARCHAR) END AS radicado FROM orders""",
@@ -147,8 +159,8 @@ QUERIES = {
         cache_keys,
         """WITH k AS (SELECT o_orderkey, CAST(o_orderkey + 100000 AS VARCHAR) AS n,
                CASE WHEN o_orderstatus = 'P' THEN 'LIC_' || (o_orderkey + 100000) || '_99' ELSE 'licencia_' || (o_orderkey % 1000) END AS stem FROM orders)
-           SELECT printf('%08d_doc', o_orderkey) AS file_id, n || '__' || left(printf('%08d_doc', o_orderkey), 8) AS with_id,
-             n || '__' || left('Año_nº_' || stem, 16) AS from_name, n || '__local' AS without_name FROM k""",
+           SELECT printf('%08d_doc', o_orderkey) AS file_id, n || '__' || printf('%08d_doc', o_orderkey) AS with_id,
+             n || '__' || 'Año_nº_' || stem AS from_name, n || '__local' AS without_name FROM k""",
     ),
     "report_identifiers": (
         report_identifiers,
