@@ -29,7 +29,7 @@ def test_text_rules(spark):
 
 def test_filing_number_head_only(spark):
     late = "\n".join(["x"] * 50 + ["Radicado: 123456"])
-    assert one(spark, text.filing_number(F.col("n"), F.col("t")), n="a.docx", t=late) is None
+    assert one(spark, text.filing_number(F.col("n"), F.col("t"), first_lines=50), n="a.docx", t=late) is None
     assert one(spark, text.filing_number(F.col("n"), F.col("t")), n="a.docx", t="\n".join(["x"] * 49 + ["RADICADO#-1234567"])) == "1234567"
     assert one(spark, text.filing_number(F.col("n"), F.col("t")), n="r_654321.docx", t="Radicado: 111111") == "654321"
 
