@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from fichero.llm.common import prepared
 
 #: Words with more characters than this merge through the heap; words and chunks a task remembers.
-SHORT, REMEMBERED = 128, 300_000
+SHORT, REMEMBERED = 128, 200_000
 NEVER = 1 << 60
 # Fixed values of the tokenizer: white space, and the pattern of its words.
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
