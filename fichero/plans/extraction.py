@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from fichero.functions.labels import literal_map
 from fichero.functions.plan import evaluated_once
@@ -195,36 +197,51 @@ def rule_extractor(text: str, attempt: int) -> str:
     return json.dumps({**header, "EQUIPOS": equipment}, ensure_ascii=False) if header or equipment else ""
 
 
+def holds_json(raw: str) -> bool:
+    """Whether a reply can be read at all: an object from its first brace on, trailing commas allowed."""
+    text = raw.translate(str.maketrans("“”‘’", "\"\"''"))
+    body = text[text.find("{"):] if "{" in text else ""
+    for candidate in (body, re.sub(r",\s*([}\]])", r"\1", body)):
+        try:
+            return isinstance(json.JSONDecoder().raw_decode(candidate)[0], dict)
+        except ValueError:
+            continue
+    return False
+
+
 def extract_replies(documents: DataFrame, extractor: Extractor = rule_extractor, budget: int | None = None, last_budget: int | None = None) -> DataFrame:
-    """(file_id, text) -> (file_id, raw): the user's extractor in Arrow batches, up to three attempts.
+    """Replace ``text`` by ``raw`` and ``extract_error``: the user's extractor in Arrow batches, up to three attempts.
 
     Whole texts go in, unless a caller whose extractor takes no more sets ``budget`` (and ``last_budget`` for the third attempt).
+    The first reply that can be read ends the attempts. All other columns pass through.
 
-    A document whose extractor raises or answers nothing gets a null reply and its reason; it never
-    stops the run.
+    A document whose extractor raises or answers nothing gets a null reply and its reason, one whose replies cannot be
+    read the last of them; neither stops the run.
     """
 
     def attempts(text: str) -> tuple[str | None, str | None]:
-        reason = "no reply"
+        last, reason = None, "no reply"
         for attempt in range(3):
             try:
                 raw = extractor(text[: budget if attempt < 2 else last_budget], attempt)
-                if "{" in (raw or ""):
-                    return raw, None
             except Exception as error:  # noqa: BLE001
                 reason = f"{type(error).__name__}: {error}"
-        return None, reason
+                continue
+            if holds_json(raw or ""):
+                return raw, None
+            last = raw if "{" in (raw or "") else last
+        return last, None if last else reason
+
+    kept = [c for c in documents.columns if c != "text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers = [attempts(text or "") for text in batch["text"]]
-            yield pd.DataFrame(
-                {"file_id": batch["file_id"], "raw": [a[0] for a in answers], "extract_error": [a[1] for a in answers]}
-            )
+            answers = [attempts(text or "") for text in batch.column("text").to_pylist()]
+            found = [pa.array([a[i] for a in answers], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + found, names=[*kept, "raw", "extract_error"])
 
-    return documents.select("file_id", "text").mapInPandas(
-        run, "file_id string, raw string, extract_error string"
-    )
+    schema = documents.select(*kept, F.lit("").cast("string").alias("raw"), F.lit("").cast("string").alias("extract_error")).schema
+    return documents.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in schema]))
 
 
 def cached_or_extracted(documents: DataFrame, cache: DataFrame, extractor: Extractor = rule_extractor) -> DataFrame:
@@ -236,9 +253,8 @@ def cached_or_extracted(documents: DataFrame, cache: DataFrame, extractor: Extra
     stored = cache.groupBy("cache_key").agg(F.max_by("licence", "stored_at").alias("licence"))  # one entry per key
     hits = keyed.join(stored, "cache_key").drop("text").withColumn("reason", F.lit(None).cast("string")).withColumn("from_cache", F.lit(True))
     misses = keyed.join(stored.select("cache_key"), "cache_key", "left_anti")
-    replies = parse_replies(extract_replies(misses, extractor))
     fresh = (
-        misses.drop("text").join(replies, "file_id")
+        parse_replies(extract_replies(misses, extractor))
         .withColumn("reason", F.coalesce("extract_error", "reason")).withColumn("from_cache", F.lit(False))
     )
     return hits.unionByName(fresh.select(*hits.columns))

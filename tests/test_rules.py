@@ -88,3 +88,23 @@ def test_rank_and_neighbour_do_not_depend_on_buckets(spark, per_bucket):
     before = {r["v"]: r["x"] for r in with_neighbour(frame, ["v"], "v", "x", False, per_bucket).collect()}
     assert after == {v: v + 1 if v < 59 else None for v in range(60)}
     assert before == {v: v - 1 if v else None for v in range(60)}
+
+
+def test_first_readable_reply_wins(spark):
+    replies = {"late": ["{broken", '{"MARCA": "A",}', "unused"], "never": ["{a", "no", "{c"], "mute": ["", "", ""]}
+    docs = spark.createDataFrame([(k, i, k) for i, k in enumerate(replies)], "file_id string, size long, text string")
+    found = extraction.parse_replies(extraction.extract_replies(docs, lambda text, attempt: replies[text][attempt])).collect()
+    got = {r["file_id"]: (r["size"], r["raw"], r["licence"], r["extract_error"], r["reason"]) for r in found}
+    assert got["late"] == (0, '{"MARCA": "A",}', {"MARCA": "A"}, None, None)
+    assert got["never"] == (1, "{c", None, None, "reply is not JSON")
+    assert got["mute"] == (2, None, None, "no reply", "empty reply")
+
+
+def test_numbers_of_documents_and_equipment(spark):
+    docs = spark.createDataFrame([("a", ""), ("b", "7"), ("c", None), ("d", "9"), ("e", "5")], "doc_id string, RADICADO string").withColumn("CATEGORIA", F.lit("CATEGORIA 1"))
+    rows = [("a", 1, "1"), ("a", 2, ""), ("b", 1, "8"), ("b", 2, " "), ("c", 1, None), ("c", 2, "4"), ("e", 1, "6")]
+    equipment = spark.createDataFrame([(*r, "X") for r in rows], "doc_id string, equipment_no int, RADICADO_EQUIPO string, MARCA string")
+    heads = licences.licence_heads(licences.grouped_equipment(docs, equipment)).collect()
+    got = sorted((r["doc_id"], r["licence_number"], r["n_equipment"], r["split"]) for r in heads)
+    assert got == [("a", "1", 2, False), ("b", "7", 1, True), ("b", "8", 1, True), ("d", "9", 1, False), ("e", "5", 1, False)]
+    assert [tuple(r) for r in licences.unnumbered_documents(docs, equipment).collect()] == [("c", 2, "filing number missing")]

@@ -123,7 +123,7 @@ def licence_texts(spark, d):
 
 def extracted_licences(spark, d):
     texts = licence_texts(spark, d)
-    done = x.parse_replies(x.extract_replies(texts)).join(texts.drop("text"), "file_id").select("file_id", "file_name", "radicado", "licence")
+    done = x.parse_replies(x.extract_replies(texts)).select("file_id", "file_name", "radicado", "licence")
     f = F.col("fields")
     return x.licence_rows(done).select(
         "file_id", F.col("item").cast("long").alias("item"), f["MARCA"].alias("marca"), f["MODELO"].alias("modelo"), f["FECHA CC"].alias("fecha_cc"), f["FECHA"].alias("fecha")
