@@ -1,8 +1,11 @@
-"""Session settings the jobs rely on."""
+"""Session settings the jobs rely on, and tables they write between steps."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -14,16 +17,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder named by the cluster, or None when there is none."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-
-
-def cut_lineage(df, spark: SparkSession):
-    """Materialise ``df`` in the shared checkpoint folder so later steps do not replay it."""
-    folder = checkpoint_dir(spark)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; one of our own only where all run on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before cutting lineage")
-    if spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="fichero-")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fichero.functions.text import placeholder_empty
 from fichero.operators import blocks, upsert as up
+from fichero.session import staged
 from workload.inputs import EQUIPMENT_SQL, LINES_SQL, equipment, filing_number_of, lines, table
 
 HEADERS = [
@@ -19,7 +20,7 @@ ROW_NUM = "l_orderkey * 4294967296 + file_no * 1000000 + item"
 
 def stored(df):
     """Derived inputs stand for stored tables, which an upsert reads several times."""
-    return df.persist()
+    return staged(df, "input")
 
 
 def sheet(spark, d):
