@@ -117,25 +117,20 @@ def incoming_key(layout: Layout) -> dict[str, Column]:
 def compound_first_match(incoming: DataFrame, master: DataFrame, layout: Layout) -> DataFrame:
     """Lowest master row equal to every key part an incoming row states: (incoming_id, row_num).
 
-    Which parts count differs from row to row, so the set of stated parts becomes one more join key:
-    master rows take part once per set that occurs for their number (64 at most), are reduced to the
+    Which parts count differs from row to row, so the set of stated parts, as a bit mask, becomes one more join
+    key: master rows take part once per set that occurs for their number (64 at most), are reduced to the
     first row per key, and meet the incoming rows in an equi-join on the whole key.
     """
     parts = incoming_key(layout)
     names = [f"_k{i}" for i in range(len(parts))]
-    stated = F.array(*[p.isNotNull() for p in parts.values()])
-    asked = incoming.select(
-        "incoming_id", "radicado", stated.alias("_stated"),
-        *[F.coalesce(p, F.lit("")).alias(n) for n, p in zip(names, parts.values())],
-    )
-    sets = asked.groupBy("radicado").agg(F.collect_set("_stated").alias("_sets"))
+    keys = incoming.select("incoming_id", "radicado", *[p.alias(n) for n, p in zip(names, parts.values())])
+    stated = sum((F.when(F.col(n).isNotNull(), 1 << i).otherwise(0) for i, n in enumerate(names)), F.lit(0))
+    asked = keys.select("incoming_id", "radicado", stated.alias("_stated"), *[F.coalesce(n, F.lit("")).alias(n) for n in names])
+    sets = asked.select("radicado", "_stated").distinct()
     offered = (
-        master.withColumn("radicado", F.col(layout.number)).join(sets, "radicado")
-        .select(
-            "radicado", "row_num", F.explode("_sets").alias("_stated"),
-            *[py_trim(quoted(p)).alias(n) for n, p in zip(names, parts)],
-        )
-        .select("radicado", "row_num", "_stated", *[F.when(F.get("_stated", F.lit(i)), F.col(n)).otherwise("").alias(n) for i, n in enumerate(names)])
+        master.select(F.col(layout.number).alias("radicado"), "row_num", *[py_trim(quoted(p)).alias(n) for n, p in zip(names, parts)])
+        .join(sets, "radicado")
+        .select("radicado", "row_num", "_stated", *[F.when(F.col("_stated").bitwiseAND(1 << i) != 0, F.col(n)).otherwise("").alias(n) for i, n in enumerate(names)])
         .groupBy("radicado", "_stated", *names).agg(F.min("row_num").alias("row_num"))
     )
     return asked.join(offered, ["radicado", "_stated", *names]).select("incoming_id", "row_num")
@@ -148,12 +143,11 @@ def first_incomplete_rows(incoming: DataFrame, master: DataFrame, layout: Layout
     """
     targets = F.array_sort(F.filter(F.map_keys("fields"), lambda k: k.isin(layout.headers)))
     asked = incoming.select("incoming_id", "radicado", targets.alias("_targets"))
-    sets = asked.groupBy("radicado").agg(F.collect_set("_targets").alias("_sets"))
+    sets = asked.select("radicado", "_targets").distinct()
     cells = F.create_map(*[part for h in layout.headers for part in (F.lit(h), placeholder_empty(quoted(h)))])
     answers = (
         master.select(F.col(layout.number).alias("radicado"), "row_num", serial_missing(layout).alias("_no_serial"), cells.alias("_empty"))
         .join(sets, "radicado")
-        .select("radicado", "row_num", "_no_serial", "_empty", F.explode("_sets").alias("_targets"))
         .withColumn("_n_empty", F.size(F.filter("_targets", lambda t: F.element_at("_empty", t))))
         .groupBy("radicado", "_targets")
         .agg(
