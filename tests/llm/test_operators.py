@@ -158,6 +158,40 @@ def test_neighbours(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (900, 901, 902, 903))
 
 
+def clumps(spark):
+    """Links and components of clumps larger than a list, some near each other, against all pairs."""
+    draw = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v)
+    vectors = []
+    for _ in range(5):
+        one = unit(draw.normal(size=24))
+        two = unit(one + 0.42 * unit(draw.normal(size=24)))
+        three = unit(two + 0.42 * unit(draw.normal(size=24)))
+        vectors += [c + 0.004 * draw.normal(size=24) for c in (one, two, three) for _ in range(3 * neighbours.LIST)]
+    table = [(int(i), [float(x) for x in v]) for i, v in zip(draw.permutation(len(vectors)), vectors)]
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()}
+    own = np.array([v for _, v in sorted(table)])
+    own = own / np.linalg.norm(own, axis=1, keepdims=True)
+    near = own @ own.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = smallest(list(zip(*map(lambda x: x.tolist(), np.nonzero(near)))), range(len(own)))
+    assert len(set(want.values())) < 15
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(near[i].sum()), c) for i, c in want.items()}
+
+
+def test_neighbours_of_clumps_larger_than_a_list(spark):
+    clumps(spark)
+
+
+def test_neighbours_compared_whole_where_the_audit_stays_short(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "RECALL", 2.0)
+    monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    monkeypatch.setattr(neighbours, "_descended", lambda lists, nodes, home, kind: lists.select("a", "b", "sim").where("false"))
+    monkeypatch.setattr(neighbours, "_first_lists", lambda nodes, *_: nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("sim")).where("false"))
+    monkeypatch.setattr(neighbours, "SENT", 20_000)
+    clumps(spark)
+
+
 def test_bpe(docs):
     from tokenizers import Tokenizer
 
