@@ -37,6 +37,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` per row, written once: a second scan may be split otherwise and would number rows anew."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def bucket_of(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as in no bucket (-1)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts, F.lit(-1))

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fichero.llm.common import prepared, staged
+from fichero.llm.common import numbered, prepared, staged
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents of a block; blocks whose rest meets in the next round.
@@ -94,16 +94,16 @@ def _round(last: bool):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, row_col: str | None = None) -> DataFrame:
     """One row per document: ``row`` (its position), id, size, source_size, target, copies and taken = size x copies.
 
     Null texts have size 0; a null source is a source of its own. A source without a word takes nothing. Documents
     are told apart by row, so repeated ids are documents of their own; the draw depends on ids, sizes and sources
     alone and is the same in every run. Further columns are ignored; an empty table gives an empty table. ``row``
-    numbers the rows of the scan, so ``docs`` must be a table read from storage.
+    is the number in ``row_col``; without one it numbers the rows of this scan alone and must not be met with another scan.
     """
     prepared(docs.sparkSession)
-    sizes = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size")), "sizes")
+    sizes = staged(docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size")), "sizes")
     per = staged(targets(sizes, weights, share, most), "targets").withColumnRenamed("source", "of")
     rows = sizes.join(per, sizes["source"].eqNullSafe(per["of"]), "left").drop("of")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -127,7 +127,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: every document as often as it has copies, none where it has no copy."""
-    copies = staged(mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "copies")
+    rows = numbered(docs)
+    copies = staged(mix(rows, id_col, text_col, source_col, row_col="_row").where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "copies")
     # dealt out by row at every size: the rows taken grow with the input and are never sent to every task
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(copies.hint("merge"), "_row")
+    rows = rows.join(copies.hint("merge"), "_row")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fichero.llm.common import prepared, staged
+from fichero.llm.common import numbered, prepared, staged
 from fichero.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -172,17 +172,17 @@ def hamming_components(codes: DataFrame, limit: int = BITS) -> DataFrame:
     return components(edges)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BITS, shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
     """One row per document: ``row`` (its position), id, ``fp``, ``component_id`` and ``kept``.
 
     Texts that are null, empty or without a word have fingerprint zero and link like any other. ``component_id`` is
     the smallest id reachable by links. Rows without an id take the component of their fingerprint (null if none
     there has an id) and are never kept unless no row of their component has an id. Of several rows with the
     component's id, the first is kept. Further columns are ignored; an empty table gives an empty table.
-    ``row`` numbers the rows of the scan, so ``docs`` must be a table read from storage.
+    ``row`` is the number in ``row_col``; without one it numbers the rows of this scan alone and must not be met with another scan.
     """
     prepared(docs.sparkSession)
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
+    own = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
     prints = staged(fingerprints(own, "_t", shingle), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("node"), F.min(F.struct(F.col("id").isNull().alias("x"), "id", "row")).alias("first")), "classes")
     components_of = hamming_components(classes.select("node", "fp"), limit)
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id."""
-    kept = staged(near_duplicates(docs, id_col, text_col).where("kept").select(F.col("row").alias("_row")), "kept")
+    rows = numbered(docs)
+    kept = staged(near_duplicates(rows, id_col, text_col, row_col="_row").where("kept").select(F.col("row").alias("_row")), "kept")
     # dealt out by row at every size: the rows kept grow with the input and are never sent to every task
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept.hint("merge"), "_row", "left_semi").drop("_row")
+    return rows.join(kept.hint("merge"), "_row", "left_semi").drop("_row")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fichero.llm.common import partitions, prepared, staged
+from fichero.llm.common import numbered, partitions, prepared, staged
 
 LENGTH, GRAM = 200, 48
 #: Occurrences above which a gram's windows are sorted one by one; entries of a run; bytes hashed at once.
@@ -342,16 +342,17 @@ def deduplicated(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
 
     Null texts count as empty; texts shorter than ``length`` stay whole; all copies of a repeated string go, in
     repeated rows too. ``_kept`` is binary, for a cut may fall inside a character. An empty table gives an empty table.
-    Rows are told apart by their place in the scan, so ``docs`` must be a table read from storage.
+    Rows are numbered once and written with the columns needed; every later step reads them there.
     """
     if length < 2 * GRAM or length > 255 * 8:
         raise ValueError(f"length must lie between {2 * GRAM} and {255 * 8}")
     carried = [c for c in docs.columns if c != text_col] if carried is None else carried
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    own = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("_text"))
+    kept = numbered(docs.select(text.alias("_text"), *carried))
+    own = kept.select(F.col("_row").alias("row"), "_text")
     spans = repeats(own, length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("row", "_row")
     # texts move once for this join, with all that is carried: nothing has to be joined to them again
-    whole = docs.select(F.monotonically_increasing_id().alias("_row"), text.alias("_text"), *carried).join(spans, "_row", "left").drop("_row")
+    whole = kept.join(spans, "_row", "left").drop("_row")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), *(f"{c} {t}" for c, t in zip(ADDED, ("long", "long", "long", "binary")))])
     return whole.mapInArrow(_cut(carried), schema)
 

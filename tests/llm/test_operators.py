@@ -79,6 +79,28 @@ def test_suffixes(docs, rows):
     assert suffixes.deduplicated(docs.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("query", ["suffixes", "simhash", "mixing"])
+def test_rows_keep_their_numbers_when_scans_are_split_otherwise(spark, docs, monkeypatch, query):
+    module, run = {
+        "suffixes": (suffixes, lambda: suffixes.deduplicated(docs, carried=["doc_id"])),
+        "simhash": (simhash, lambda: simhash.one_of_each(docs)),
+        "mixing": (mixing, lambda: mixing.mixed(docs)),
+    }[query]
+    plain = sorted(map(str, run().collect()))
+    staged, splits = module.staged, "spark.sql.files.minPartitionNum"
+
+    def fewer_splits_after(df, name):
+        out = staged(df, name)
+        spark.conf.set(splits, "1")
+        return out
+
+    monkeypatch.setattr(module, "staged", fewer_splits_after)
+    try:
+        assert sorted(map(str, run().collect())) == plain
+    finally:
+        spark.conf.unset(splits)
+
+
 def test_suffixes_of_hot_grams(docs, monkeypatch):
     plain = sorted(map(str, suffixes.deduplicated(docs, carried=["doc_id"]).collect()))
     monkeypatch.setattr(suffixes, "HOT", 2)
