@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fichero.llm import bpe, ctw, language, mixing, neighbours, simhash, suffixes, topk, toxicity, warc
+from fichero.llm import bpe, ctw, decontaminate, language, mixing, negatives, neighbours, simhash, suffixes, topk, toxicity, warc
 from fichero.llm.common import bucket_of
 
 #: The tokenizer's vocabulary file.
@@ -74,6 +74,20 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs, bucket_of("doc_id", 7) != 2)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives below each of the five positives of every embedding whose id is divisible by 100."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside passages of the benchmark, and whose passages they are."""
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -96,4 +110,26 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
     "op8_mixing": (op8_mixing, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_ctw": (op10_ctw, None),
+    "op11_hard_negatives": (op11_hard_negatives, """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same),
+w AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score WHERE n <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 5"""),
+    "op12_decontamination": (op12_decontamination, r"""
+WITH d AS (SELECT doc_id, [w for w in string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if w <> ''] AS w FROM documents),
+b AS (SELECT item_id, [w for w in string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if w <> ''] AS w FROM benchmark),
+bs AS (SELECT item_id, w, least(len(w), 10) AS t, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, t, array_to_string(w[s:s + t - 1], ' ') AS x FROM bs),
+ds AS (SELECT doc_id, w, t, unnest(range(1, len(w) - t + 2)) AS s FROM d CROSS JOIN (SELECT DISTINCT t FROM bw) WHERE len(w) >= t),
+dw AS (SELECT doc_id, t, s, array_to_string(w[s:s + t - 1], ' ') AS x FROM ds),
+hits AS (SELECT doc_id, dw.t, s, item_id FROM dw JOIN bw ON dw.t = bw.t AND dw.x = bw.x),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + t)) AS p FROM hits) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id"""),
 }
