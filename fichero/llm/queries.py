@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fichero.llm import bpe, ctw, decontaminate, language, mixing, negatives, neighbours, simhash, suffixes, topk, toxicity, warc
+from fichero.llm import bpe, ctw, decontaminate, language, mixing, negatives, neighbours, phrases, simhash, suffixes, topk, toxicity, warc
 from fichero.llm.common import bucket_of
 
 #: The tokenizer's vocabulary file.
@@ -88,6 +88,11 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language whose words keep together."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -132,4 +137,21 @@ h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(rang
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id"""),
+    "op13_collocations": (op13_collocations, r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, [x for x in string_split_regex(piece, '[ \t]+') if x <> ''] AS w FROM p),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w),
+o AS (SELECT lang, k, w[s:s + k - 1] AS words FROM g CROSS JOIN (SELECT unnest(range(1, 6)) AS k) WHERE s + k - 1 <= len(w)),
+f AS (SELECT lang, k, words, count(*) AS n FROM o GROUP BY ALL),
+t AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS size, words, n AS a FROM f WHERE k > 1 AND n >= 100),
+covered AS (SELECT DISTINCT s.lang, s.words FROM c s JOIN c b ON s.lang = b.lang AND s.size < b.size AND 100 * b.a >= 100 * s.a
+  AND len([i for i in range(1, b.size - s.size + 2) if b.words[i:i + s.size - 1] = s.words]) > 0),
+cut AS (SELECT lang, words, a, size, unnest(range(1, size)) AS k FROM c WHERE NOT EXISTS (SELECT 1 FROM covered x WHERE x.lang = c.lang AND x.words = c.words)),
+scored AS (SELECT cut.lang, cut.words, a, cut.k, l.n AS l, r.n AS r, CAST(t.n AS BIGINT) AS n,
+    CAST((CAST(1000 AS HUGEINT) * a * t.n) // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.words = cut.words[1:cut.k] JOIN f r ON r.lang = cut.lang AND r.words = cut.words[cut.k + 1:] JOIN t ON t.lang = cut.lang),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS best FROM scored) WHERE best = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM low)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""),
 }
