@@ -125,7 +125,8 @@ def contaminated(docs: DataFrame, items: DataFrame, length: int = 10, k: int = K
     # one text per key that has hits; the copies of a text are dealt to several tasks before one of them is kept
     asked = starts.select("key", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
     copies = texts.select("key", "text", (F.monotonically_increasing_id() % _SALTS).cast("int").alias("salt"))
-    whole = copies.join(asked, ["key", "salt"], "left_semi").dropDuplicates(["key", "salt"]).dropDuplicates(["key"]).drop("salt").join(starts, "key")
+    # always by a merge, so that the plan is the same at every size of the corpus
+    whole = copies.join(asked.hint("merge"), ["key", "salt"], "left_semi").dropDuplicates(["key", "salt"]).dropDuplicates(["key"]).drop("salt").join(starts, "key")
     cut = evaluated_once(whole, "words", words_of(F.col("text"))).select("key", "words", F.explode("starts").alias("one"))
     found = cut.select("key", "one.start", "one.length", lowered(F.array_join(F.slice("words", F.col("one.start") + 1, F.col("one.length")), " ")).alias("window"))
     found = staged(found.join(windows.select("length", "window").distinct(), ["length", "window"], "left_semi"), "found")

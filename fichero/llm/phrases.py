@@ -2,9 +2,8 @@
 
 A relation holds the occurrences of phrases of k words, sorted by piece and position: one row per document, so that no
 piece is ever cut, with a gap in the positions between pieces. A level merge-joins the relation with itself at adjacent
-positions of a piece, which gives the occurrences of k + 1 words, writes them, counts their groups, and the semi-join
-with the groups that are frequent enough comes before the next extension. The first relation is the text itself, read
-in order; pairs are counted once by their hash before their occurrences are written, so only likely ones are.
+positions of a piece, which gives the occurrences of k + 1 words, counts their groups, and writes those that pass the
+semi-join with the frequent groups, to be extended next. The first relation is the text itself, read in order.
 
 Words are 64-bit ids, hashed with their language; the counted words prove that no two share an id, or the hash gets
 another seed. A phrase is the list of its ids, so counts are exact. The semi-join sends a Bloom filter of the frequent
@@ -37,12 +36,15 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _WORDS = "lang string, word string, id long, n long"
 _WORDS_ARROW = pa.schema([("lang", pa.string()), ("word", pa.string()), ("id", pa.int64()), ("n", pa.int64())])
-_PAIRS = "key long, n long"
-_PAIRS_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+_PAIRS = "first long, second long, n long"
+_PAIRS_ARROW = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("n", pa.int64())])
 _RELATION = "at array<int>, words array<long>"
 _RELATION_ARROW = pa.schema([("at", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))])
-_GROUPS = "key long, words array<long>, n long"
-_GROUPS_ARROW = pa.schema([("key", pa.int64()), ("words", pa.list_(pa.int64())), ("n", pa.int64())])
+_GROUPS = "words array<long>, n long"
+_GROUPS_ARROW = pa.schema([("words", pa.list_(pa.int64())), ("n", pa.int64())])
+_KEYED = "key long, words array<long>, n long"
+#: Groups a task gathers before it gives them out.
+_HELD = 1 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -149,9 +151,9 @@ def _count_words(seed: int, other: int):
 def _count_pairs(seed: int, frequent: Bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = phrase_keys(_pairs(batch, seed, frequent)[2])
-            first, n = _groups(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(n, pa.int64())], schema=_PAIRS_ARROW)
+            pairs = _pairs(batch, seed, frequent)[2]
+            first, n = _groups(phrase_keys(pairs), *pairs.T)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in pairs[first].T], pa.array(n, pa.int64())], schema=_PAIRS_ARROW)
 
     return run
 
@@ -192,28 +194,60 @@ def _occurrences(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray,
     return at.flatten().to_numpy(), words.flatten().to_numpy().reshape(-1, k), np.repeat(np.arange(batch.num_rows), counts)
 
 
-def _count_groups(k: int):
+def _lists(words: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.reshape(-1)))
+
+
+def _extended(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The relation merge-joined with itself at adjacent positions: occurrences of k + 1 words."""
+    at, words, documents = _occurrences(batch, k)
+    left = np.flatnonzero((at[1:] == at[:-1] + 1) & (documents[1:] == documents[:-1]))
+    return at[left], np.concatenate((words[left], words[left + 1, -1:]), axis=1), documents[left]
+
+
+def _count_extended(k: int):
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        words, n = (np.concatenate(c) for c in zip(*parts))
+        keys = phrase_keys(words)
+        order = np.lexsort((*words.T[::-1], keys))
+        first, sizes = _groups(keys[order], *words[order].T)
+        return words[order][first], np.add.reduceat(n[order], np.cumsum(sizes) - sizes) if len(n) else n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            words = _occurrences(batch, k)[1]
-            keys = phrase_keys(words)
-            first, n = _groups(keys, *words.T)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * k), pa.array(words[first].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), lists, pa.array(n, pa.int64())], schema=_GROUPS_ARROW)
+            words = _extended(batch, k)[1]
+            first, n = _groups(phrase_keys(words), *words.T)
+            held.append((words[first], n))
+            if sum(len(n) for _, n in held) > _HELD:
+                held = [merged(held)]
+                if len(held[0][1]) > _HELD // 2:
+                    yield pa.RecordBatch.from_arrays([_lists(held[0][0]), pa.array(held[0][1], pa.int64())], schema=_GROUPS_ARROW)
+                    held = []
+        if held:
+            words, n = merged(held)
+            yield pa.RecordBatch.from_arrays([_lists(words), pa.array(n, pa.int64())], schema=_GROUPS_ARROW)
 
     return run
 
 
 def _extend(k: int, frequent: Bloom):
-    """The semi-join with the frequent groups, then the merge-join at adjacent positions."""
+    """The merge-join, then the semi-join with the frequent groups of k + 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, words, documents = _occurrences(batch, k)
+            at, words, documents = _extended(batch, k)
             kept = frequent.has(phrase_keys(words))
-            at, words, documents = at[kept], words[kept], documents[kept]
-            left = np.flatnonzero((at[1:] == at[:-1] + 1) & (documents[1:] == documents[:-1]))
-            yield _relation(at[left], np.concatenate((words[left], words[left + 1, -1:]), axis=1), documents[left])
+            yield _relation(at[kept], words[kept], documents[kept])
+
+    return run
+
+
+def _keyed(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words").flatten().to_numpy().reshape(-1, k)
+            yield pa.RecordBatch.from_arrays([pa.array(phrase_keys(words)), batch.column("words"), batch.column("n")], names=["key", "words", "n"])
 
     return run
 
@@ -235,14 +269,17 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, text_col: str =
     words, seed = _counted_words(texts)
     levels = [words.where(F.col("n") >= least).select(F.array("id").alias("words"), "n")]
     frequent = Bloom(words.where(F.col("n") >= least).select("id"), "id")
-    pairs = texts.mapInArrow(_count_pairs(seed, frequent), _PAIRS).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    relation = staged(texts.mapInArrow(_write_pairs(seed, frequent, Bloom(staged(pairs.select("key"), "pairs"), "key")), _RELATION), "relation")
+    pairs = texts.mapInArrow(_count_pairs(seed, frequent), _PAIRS).groupBy("first", "second").agg(F.sum("n").alias("n"))
+    groups, relation = pairs.select(F.array("first", "second").alias("words"), "n"), None
     for k in range(2, longest + 1):
-        groups = relation.mapInArrow(_count_groups(k), _GROUPS).groupBy("key", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        groups = staged(groups, "groups")
+        if k > 2:
+            groups = relation.mapInArrow(_count_extended(k - 1), _GROUPS).groupBy("words").agg(F.sum("n").alias("n"))
+        groups = staged(groups.where(F.col("n") >= least).mapInArrow(_keyed(k), _KEYED), "groups")
         levels.append(groups.select("words", "n"))
         if k < longest:
-            relation = staged(relation.mapInArrow(_extend(k, Bloom(groups.select("key"), "key")), _RELATION), "relation")
+            known = Bloom(groups, "key")
+            relation = texts.mapInArrow(_write_pairs(seed, frequent, known), _RELATION) if k == 2 else relation.mapInArrow(_extend(k - 1, known), _RELATION)
+            relation = staged(relation, "relation")
     return words, staged(reduce(DataFrame.unionByName, levels), "phrases")
 
 
