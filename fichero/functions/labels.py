@@ -41,59 +41,64 @@ DOCUMENT_FIELDS = [
 
 # Labels of every field, in comparison form (accents dropped, punctuation to space).
 GENERAL_LABELS = {
-    "RADICADO": "RADICADO | NO RADICADO | NUMERO DE RADICADO",
-    "TIPO_SOLICITANTE": "TIPO DE SOLICITANTE | SOLICITANTE | TIPO PERSONA SOLICITANTE",
-    "NOMBRE_SOLICITANTE": "NOMBRE O RAZON SOCIAL | NOMBRE O RAZON SOCIAL DEL SOLICITANTE | RAZON SOCIAL | NOMBRE COMPLETO",
-    "RADICADO_EQUIPO": "RADICADO EQUIPO | RADICADO DEL EQUIPO | RADICADO E",
-    "NIT_CC": "NIT | NIT O CC | NIT O C C | NIT CC | NIT O CEDULA | CEDULA | C C | CC",
-    "REPRESENTANTE_LEGAL": "REPRESENTANTE LEGAL | NOMBRE REPRESENTANTE LEGAL | NOMBRE COMPLETO REPRESENTANTE LEGAL",
-    "REPRESENTANTE_CC": "DOCUMENTO REPRESENTANTE LEGAL | CC REPRESENTANTE | CC REPRESENTANTE LEGAL | CC R | "
-    "CC DEL REPRESENTANTE LEGAL | CEDULA REPRESENTANTE LEGAL",
-    "SEDE": "NOMBRE SEDE | SEDE | NOMBRE SEDE O CONSULTORIO | NOMBRE DEL ESTABLECIMIENTO",
-    "DIRECCION": "DIRECCION | DIRECCION ESTABLECIMIENTO",
-    "MUNICIPIO": "MUNICIPIO",
-    "SUBREGION": "SUBREGION",
-    "TIPO_DE_SOLICITUD": "TIPO DE SOLICITUD",
-    "EMAIL_NOTIFICACION": "EMAIL NOTIFICACION",
-    "TIPO_DE_EQUIPO": "TIPO DE EQUIPO",
-    "PRACTICA": "PRACTICA | PRACTICA SOLICITADA",
-    "CATEGORIA": "CATEGORIA | CATEGORIA LICENCIA | CATEGORIA DEL EQUIPO",
-    "CATEGORIA_EQUIPO": "CATEGORIA EQUIPO | CATEGORIA E | CATEGORIA DEL EQUIPO LICENCIA",
-    "MARCA": "MARCA | MARCA E",
-    "MODELO": "MODELO | MODELO E",
-    "SERIE": "SERIE | SERIE E | NUMERO DE SERIE | NUMERO SERIE | NRO DE SERIE | NRO SERIE | N SERIE",
-    "KV": "KV | K V",
-    "MA": "MA | M A",
-    "W": "W | POTENCIA | CARGA DE TRABAJO | CARGA TRABAJO",
-    "FECHA_FABRICACION": "FECHA DE FABRICACION | FECHA FABRICACION E",
-    "MARCA_TUBO": "MARCA TUBO RX | MARCA T",
-    "MODELO_TUBO": "MODELO TUBO RX | MODELO T",
-    "SERIE_TUBO": "SERIE TUBO RX | SERIE T",
-    "FECHA_FABRICACION_TUBO": "FECHA FABRICACION TUBO RX | FECHA FABRICACION T",
-    "FECHA_QC": "FECHA CC | FECHA CONTROL CALIDAD | FECHA DEL CONTROL DE CALIDAD | "
-    "FECHA QUE SE REALIZO EL CONTROL DE CALIDAD",
-    "OPR_NOMBRE": "OFICIAL DE PROTECCION RADIOLOGICA | ENCARGADO PROTECCION RADIOLOGICA | "
-    "ENCARGADO OPR NOMBRE COMPLETO | ENCARGADO OPR | NOMBRE ENCARGADO OPR | NOMBRE ENCARGADO | "
-    "ENCARGADO OFICIAL DE PROTECCION RADIOLOGICA | OFICIAL DE PROTECCION RADIOLOGICA NOMBRE | OPR NOMBRE",
-    "OPR_CC": "DOCUMENTO OPR | CC OPR | CEDULA OPR | CEDULA DEL OPR | CEDULA ENCARGADO OPR | "
-    "CEDULA ENCARGADO | CEDULA DEL ENCARGADO | CC ENCARGADO | CC DEL ENCARGADO",
-    "UBICACION_EQUIPO": "UBICACION | UBICACION E",
-    "FECHA_RADICACION": "FECHA RADICACION | FECHA RADICACION EQUIPO | FECHA RADICACION E",
-    "RESOLUCION": "RESOLUCION | NUMERO DE RESOLUCION",
-    "RESOLUCION_EQUIPO": "RESOLUCION E | RESOLUCION EQUIPO | RESOLUCION DEL EQUIPO | RESOLUCION EQUIPO LICENCIA",
-    "FECHA_RESOLUCION": "FECHA RESOLUCION | FECHA DE LA RESOLUCION",
-    "FECHA_RESOLUCION_EQUIPO": "FECHA RESOLUCION EQUIPO | FECHA RESOLUCION E | FECHA RESOLUCION DEL EQUIPO",
-    "FECHA_HOY": "FECHA HOY",
-    "DIA_EMISION": "DIA EMISION | DIA",
-    "MES_EMISION": "MES EMISION | MES",
-    "ANO_EMISION": "ANO EMISION | ANO",
-    "OBSERVACIONES": "OBSERVACIONES | COMENTARIOS",
-    "EMPRESA_QC": "EMPRESA CONTROL CALIDAD | EMPRESA CONTROL DE CALIDAD | EMPRESA QUE REALIZO EL CONTROL DE CALIDAD",
+    "RADICADO": ["RADICADO", "NO RADICADO", "NUMERO DE RADICADO"],
+    "TIPO_SOLICITANTE": ["TIPO DE SOLICITANTE", "SOLICITANTE", "TIPO PERSONA SOLICITANTE"],
+    "NOMBRE_SOLICITANTE": ["NOMBRE O RAZON SOCIAL", "NOMBRE O RAZON SOCIAL DEL SOLICITANTE", "RAZON SOCIAL", "NOMBRE COMPLETO"],
+    "RADICADO_EQUIPO": ["RADICADO EQUIPO", "RADICADO DEL EQUIPO", "RADICADO E"],
+    "NIT_CC": ["NIT", "NIT O CC", "NIT O C C", "NIT CC", "NIT O CEDULA", "CEDULA", "C C", "CC"],
+    "REPRESENTANTE_LEGAL": ["REPRESENTANTE LEGAL", "NOMBRE REPRESENTANTE LEGAL", "NOMBRE COMPLETO REPRESENTANTE LEGAL"],
+    "REPRESENTANTE_CC": [
+        "DOCUMENTO REPRESENTANTE LEGAL", "CC REPRESENTANTE", "CC REPRESENTANTE LEGAL", "CC R", "CC DEL REPRESENTANTE LEGAL",
+        "CEDULA REPRESENTANTE LEGAL",
+    ],
+    "SEDE": ["NOMBRE SEDE", "SEDE", "NOMBRE SEDE O CONSULTORIO", "NOMBRE DEL ESTABLECIMIENTO"],
+    "DIRECCION": ["DIRECCION", "DIRECCION ESTABLECIMIENTO"],
+    "MUNICIPIO": ["MUNICIPIO"],
+    "SUBREGION": ["SUBREGION"],
+    "TIPO_DE_SOLICITUD": ["TIPO DE SOLICITUD"],
+    "EMAIL_NOTIFICACION": ["EMAIL NOTIFICACION"],
+    "TIPO_DE_EQUIPO": ["TIPO DE EQUIPO"],
+    "PRACTICA": ["PRACTICA", "PRACTICA SOLICITADA"],
+    "CATEGORIA": ["CATEGORIA", "CATEGORIA LICENCIA", "CATEGORIA DEL EQUIPO"],
+    "CATEGORIA_EQUIPO": ["CATEGORIA EQUIPO", "CATEGORIA E", "CATEGORIA DEL EQUIPO LICENCIA"],
+    "MARCA": ["MARCA", "MARCA E"],
+    "MODELO": ["MODELO", "MODELO E"],
+    "SERIE": ["SERIE", "SERIE E", "NUMERO DE SERIE", "NUMERO SERIE", "NRO DE SERIE", "NRO SERIE", "N SERIE"],
+    "KV": ["KV", "K V"],
+    "MA": ["MA", "M A"],
+    "W": ["W", "POTENCIA", "CARGA DE TRABAJO", "CARGA TRABAJO"],
+    "FECHA_FABRICACION": ["FECHA DE FABRICACION", "FECHA FABRICACION E"],
+    "MARCA_TUBO": ["MARCA TUBO RX", "MARCA T"],
+    "MODELO_TUBO": ["MODELO TUBO RX", "MODELO T"],
+    "SERIE_TUBO": ["SERIE TUBO RX", "SERIE T"],
+    "FECHA_FABRICACION_TUBO": ["FECHA FABRICACION TUBO RX", "FECHA FABRICACION T"],
+    "FECHA_QC": ["FECHA CC", "FECHA CONTROL CALIDAD", "FECHA DEL CONTROL DE CALIDAD", "FECHA QUE SE REALIZO EL CONTROL DE CALIDAD"],
+    "OPR_NOMBRE": [
+        "OFICIAL DE PROTECCION RADIOLOGICA", "ENCARGADO PROTECCION RADIOLOGICA", "ENCARGADO OPR NOMBRE COMPLETO",
+        "ENCARGADO OPR", "NOMBRE ENCARGADO OPR", "NOMBRE ENCARGADO", "ENCARGADO OFICIAL DE PROTECCION RADIOLOGICA",
+        "OFICIAL DE PROTECCION RADIOLOGICA NOMBRE", "OPR NOMBRE",
+    ],
+    "OPR_CC": [
+        "DOCUMENTO OPR", "CC OPR", "CEDULA OPR", "CEDULA DEL OPR", "CEDULA ENCARGADO OPR", "CEDULA ENCARGADO",
+        "CEDULA DEL ENCARGADO", "CC ENCARGADO", "CC DEL ENCARGADO",
+    ],
+    "UBICACION_EQUIPO": ["UBICACION", "UBICACION E"],
+    "FECHA_RADICACION": ["FECHA RADICACION", "FECHA RADICACION EQUIPO", "FECHA RADICACION E"],
+    "RESOLUCION": ["RESOLUCION", "NUMERO DE RESOLUCION"],
+    "RESOLUCION_EQUIPO": ["RESOLUCION E", "RESOLUCION EQUIPO", "RESOLUCION DEL EQUIPO", "RESOLUCION EQUIPO LICENCIA"],
+    "FECHA_RESOLUCION": ["FECHA RESOLUCION", "FECHA DE LA RESOLUCION"],
+    "FECHA_RESOLUCION_EQUIPO": ["FECHA RESOLUCION EQUIPO", "FECHA RESOLUCION E", "FECHA RESOLUCION DEL EQUIPO"],
+    "FECHA_HOY": ["FECHA HOY"],
+    "DIA_EMISION": ["DIA EMISION", "DIA"],
+    "MES_EMISION": ["MES EMISION", "MES"],
+    "ANO_EMISION": ["ANO EMISION", "ANO"],
+    "OBSERVACIONES": ["OBSERVACIONES", "COMENTARIOS"],
+    "EMPRESA_QC": ["EMPRESA CONTROL CALIDAD", "EMPRESA CONTROL DE CALIDAD", "EMPRESA QUE REALIZO EL CONTROL DE CALIDAD"],
 }
 
 QC_SECTION_LABELS = {
-    "EMPRESA_QC": "EMPRESA | EMPRESA DEL CC | EMPRESA CC | EMPRESA QC | EMPRESA QUE REALIZA CC | EMPRESA CONTROL CALIDAD",
-    "FECHA_QC": "FECHA | FECHA CC | FECHA QC | FECHA CONTROL CALIDAD",
+    "EMPRESA_QC": ["EMPRESA", "EMPRESA DEL CC", "EMPRESA CC", "EMPRESA QC", "EMPRESA QUE REALIZA CC", "EMPRESA CONTROL CALIDAD"],
+    "FECHA_QC": ["FECHA", "FECHA CC", "FECHA QC", "FECHA CONTROL CALIDAD"],
 }
 EQUIPMENT_SECTION = "EQUIPOS A LICENCIAR"
 
@@ -102,14 +107,14 @@ SECTION_LABELS = {
     "CONTROL DE CALIDAD": QC_SECTION_LABELS,
     "INFORMACION CONTROL CALIDAD": QC_SECTION_LABELS,
     EQUIPMENT_SECTION: {
-        "CATEGORIA_EQUIPO": "CATEGORIA | CATEGORIA EQUIPO | CATEGORIA E",
-        "RADICADO_EQUIPO": "RADICADO | RADICADO E | RADICADO EQUIPO | RADICADO DEL EQUIPO",
-        "FECHA_RADICACION": "FECHA RADICACION | FECHA RADICACION EQUIPO | FECHA RADICACION DEL EQUIPO | FECHA RADICACION E",
-        "KV": "KV | K V",
-        "MA": "MA | M A",
-        "W": "W | POTENCIA | CARGA DE TRABAJO | CARGA TRABAJO",
-        "RESOLUCION_EQUIPO": "RESOLUCION | RESOLUCION EQUIPO | RESOLUCION DEL EQUIPO",
-        "FECHA_RESOLUCION_EQUIPO": "FECHA RESOLUCION | FECHA RESOLUCION EQUIPO",
+        "CATEGORIA_EQUIPO": ["CATEGORIA", "CATEGORIA EQUIPO", "CATEGORIA E"],
+        "RADICADO_EQUIPO": ["RADICADO", "RADICADO E", "RADICADO EQUIPO", "RADICADO DEL EQUIPO"],
+        "FECHA_RADICACION": ["FECHA RADICACION", "FECHA RADICACION EQUIPO", "FECHA RADICACION DEL EQUIPO", "FECHA RADICACION E"],
+        "KV": ["KV", "K V"],
+        "MA": ["MA", "M A"],
+        "W": ["W", "POTENCIA", "CARGA DE TRABAJO", "CARGA TRABAJO"],
+        "RESOLUCION_EQUIPO": ["RESOLUCION", "RESOLUCION EQUIPO", "RESOLUCION DEL EQUIPO"],
+        "FECHA_RESOLUCION_EQUIPO": ["FECHA RESOLUCION", "FECHA RESOLUCION EQUIPO"],
     },
 }
 
@@ -142,8 +147,8 @@ QC_FIELDS = {
 }
 
 
-def _pairs(groups: dict[str, str]) -> list[tuple[str, str]]:
-    return [(label, field) for field, text in groups.items() for label in text.split(" | ")]
+def _pairs(groups: dict[str, list[str]]) -> list[tuple[str, str]]:
+    return [(label, field) for field, labels in groups.items() for label in labels]
 
 
 def literal_map(pairs) -> Column:
