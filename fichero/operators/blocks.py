@@ -136,23 +136,47 @@ def compound_first_match(incoming: DataFrame, master: DataFrame, layout: Layout)
     return asked.join(offered, ["radicado", "_stated", *names]).select("incoming_id", "row_num")
 
 
+# --- gaps -----------------------------------------------------------------------------------
+
+# Bits of one mask; a wider table takes several.
+_MASK_BITS = 62
+
+
+def _masks(headers: list[str], bit) -> Column:
+    """One bit per header, in groups of ``_MASK_BITS``: set where ``bit(header)`` holds."""
+    parts = [headers[i : i + _MASK_BITS] for i in range(0, len(headers), _MASK_BITS)]
+    zero = F.lit(0).cast("long")
+    return F.array(*[sum((F.when(bit(h), F.lit(1 << i).cast("long")).otherwise(zero) for i, h in enumerate(part)), zero) for part in parts])
+
+
+def gap_index(master: DataFrame, layout: Layout) -> DataFrame:
+    """(radicado, gaps, row_num): which cells are empty, as bit masks, and the first row of each number with just these.
+
+    Rows that lack the same cells are one, so an index of a number of any size has as many rows as it knows patterns.
+    """
+    rows = evaluated_once(master.select("row_num", *map(quoted, layout.headers)), "gaps", _masks(layout.headers, lambda h: placeholder_empty(quoted(h))))
+    return rows.groupBy(F.col(layout.number).alias("radicado"), "gaps").agg(F.min("row_num").alias("row_num"))
+
+
 def first_incomplete_rows(incoming: DataFrame, master: DataFrame, layout: Layout) -> DataFrame:
     """First row to reuse per incoming row: one without serial, else one with many empty targets.
 
-    Incoming rows ask through their set of target columns, so equal sets of one number share an answer.
+    Incoming rows ask by the bit mask of their target columns, so equal ones of a number share an answer; they meet the
+    number's patterns of gaps, not its rows.
     """
-    targets = F.array_sort(F.filter(F.map_keys("fields"), lambda k: k.isin(layout.headers)))
-    asked = incoming.select("incoming_id", "radicado", targets.alias("_targets"))
-    sets = asked.select("radicado", "_targets").distinct()
-    cells = F.create_map(*[part for h in layout.headers for part in (F.lit(h), placeholder_empty(quoted(h)))])
-    answers = (
-        master.select(F.col(layout.number).alias("radicado"), "row_num", serial_missing(layout).alias("_no_serial"), cells.alias("_empty"))
-        .join(sets, "radicado")
-        .withColumn("_n_empty", F.size(F.filter("_targets", lambda t: F.element_at("_empty", t))))
-        .groupBy("radicado", "_targets")
-        .agg(
-            F.min(F.when(F.col("_no_serial"), F.col("row_num"))).alias("no_serial_row"),
-            F.min(F.when((F.size("_targets") >= MIN_TARGETS) & (F.col("_n_empty") >= MIN_EMPTY), F.col("row_num"))).alias("gappy_row"),
-        )
+    targets = F.filter(F.map_keys("fields"), lambda k: k.isin(layout.headers))
+    asked = evaluated_once(incoming.select("incoming_id", "radicado", targets.alias("_known")), "_targets", _masks(layout.headers, lambda h: F.array_contains("_known", h))).drop("_known")
+    index = gap_index(master, layout).join(asked.select("radicado").distinct(), "radicado", "left_semi")
+    serial = _masks(layout.headers, lambda h: F.lit(h in layout.serials))
+
+    def shared(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("int")), F.lit(0), lambda n, x: n + x)
+
+    no_serial = index.where(shared(F.col("gaps"), serial) > 0).groupBy("radicado").agg(F.min("row_num").alias("no_serial_row"))
+    sets = asked.select("radicado", "_targets").distinct().where(shared(F.col("_targets"), F.col("_targets")) >= MIN_TARGETS)
+    gappy = index.join(sets, "radicado").where(shared(F.col("gaps"), F.col("_targets")) >= MIN_EMPTY).groupBy("radicado", "_targets").agg(F.min("row_num").alias("gappy_row"))
+    known = index.select("radicado").distinct()
+    return (
+        asked.join(known, "radicado").join(no_serial, "radicado", "left").join(gappy, ["radicado", "_targets"], "left")
+        .select("incoming_id", "no_serial_row", "gappy_row")
     )
-    return asked.join(answers, ["radicado", "_targets"]).select("incoming_id", "no_serial_row", "gappy_row")

@@ -17,29 +17,6 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def write_snapshot(df: DataFrame, base: str, version: int) -> str:
-    """Write a table as a new immutable version; the version being read is never overwritten."""
-    path = f"{base}/v{version:012d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-def snapshot_versions(spark: SparkSession, base: str) -> list[int]:
-    """Versions whose write has finished, oldest first."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(base)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v")]
-    done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(name[1:]) for name in done)
-
-
-def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/v{snapshot_versions(spark, base)[-1]:012d}")
-
-
 def write_licences(paragraphs: DataFrame, path: str) -> None:
     """One folder per output name prefix is too many files at scale; rows are clustered by licence instead."""
     (

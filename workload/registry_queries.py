@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fichero.functions.text import placeholder_empty
 from fichero.operators import blocks, upsert as up
-from fichero.session import staged
+from fichero.session import shared_folder, staged
+from fichero.streaming import arrivals
 from workload.inputs import EQUIPMENT_SQL, LINES_SQL, equipment, filing_number_of, lines, table
 
 HEADERS = [
@@ -131,7 +134,10 @@ def upsert_audit(spark, d):
 
 
 def upsert_master(spark, d):
-    merged = _merged(spark, d)[0]
+    return _readable(_merged(spark, d)[0])
+
+
+def _readable(merged):
     return merged.select(
         "row_num", F.col("RADICADO").alias("radicado"), F.col("ITEM").alias("item"), F.col("SERIE").alias("serie"), F.col("SERIE TUBO RX").alias("tubo"), F.col("SEDE").alias("sede"),
         F.col("ETIQUETA IA").alias("etiqueta"), F.col("Última actualización").alias("actualizado"),
@@ -142,6 +148,30 @@ def upsert_summary(spark, d):
     return up.run_summary(_merged(spark, d)[1])
 
 
+def _stored(spark, d):
+    """The same merge as the equipment comes in: two files of rows, each streamed into the stored table, and once more."""
+    folder = f"{shared_folder(spark)}/master-{uuid.uuid4().hex}"
+    store = arrivals.start_master(arrivals.master_store(spark, f"{folder}/master", LAYOUT), registered(spark, d), LAYOUT)
+    rows = stored(incoming(spark, d).drop("o_orderstatus"))
+    middle = filing_number_of(F.lit(table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // 2))
+    for early in (True, False):
+        rows.where((F.col("file_name") < middle) == early).write.mode("append").parquet(f"{folder}/in")
+        for _ in range(2):
+            stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            arrivals.run_available(stream, f"{folder}/state", arrivals.upsert_batches(store, LAYOUT, lambda batch_id: STAMP))
+    return store
+
+
+def master_of_batches(spark, d):
+    return _readable(arrivals.current_master(_stored(spark, d), LAYOUT))
+
+
+def master_writes(spark, d):
+    """Rows written as batches came in: the table once, then the rows of each batch."""
+    log = _stored(spark, d).versions().where("kind = 'delta' OR version = 0")
+    return log.groupBy("kind").agg(F.sum("rows").alias("n"))
+
+
 _MERGED_SQL = EQUIPMENT_SQL + f""",
 fresh AS (
   SELECT file_id, item, row_number() OVER (ORDER BY file_name, file_id, item) AS rank,
@@ -269,5 +299,7 @@ QUERIES = {
              ELSE CASE WHEN l_returnflag = 'A' THEN 'antes' || chr(10) ELSE '' END || '2024-06-30 00:00:00Z: ' ||
                CASE WHEN no_site THEN 'Llenadas: SEDE. Saltadas: {_OLD_SKIPS.replace(' SEDE,', '')}.' ELSE 'Saltadas: {_OLD_SKIPS}.' END || ' Sin columna: NOTA.' END AS etiqueta,
         '2024-06-30T00:00:00Z' AS actualizado FROM merged"""),
+    "master_writes": (master_writes, f"WITH {_MERGED_SQL} SELECT 'delta' AS kind, count(*) AS n FROM merged UNION ALL SELECT 'base', count(*) FROM merged WHERE new_action IS NULL"),
     "upsert_summary": (upsert_summary, f"WITH {_MERGED_SQL} SELECT coalesce(new_action, 'update') AS action, count(*) AS n FROM merged GROUP BY 1"),
 }
+QUERIES["master_of_batches"] = (master_of_batches, QUERIES["upsert_master"][1])
