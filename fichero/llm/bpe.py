@@ -38,16 +38,21 @@ def _byte_characters() -> list[str]:
 
 
 class _Remembered(dict):
-    """A bounded memory of computed values."""
+    """A bounded memory of computed values in two generations: when the young one is full it becomes the old one, and
+    what is asked for again comes back from there, so frequent words are never computed anew."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.old = compute, {}
 
     def __missing__(self, key):
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -115,27 +120,36 @@ class Codec:
                     heapq.heappush(heap, (r, k))
         return [bounds[i] for i in range(last) if alive[i]] + [bounds[last]]
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+    def _piece(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, str]:
+        """Ids, how they are written, and what they decode to."""
+        return ids, " ".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+
+    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
         words = self.words
-        return tuple(chain.from_iterable(words[w] for w in WORD.findall(chunk)))
+        return self._piece(tuple(chain.from_iterable(words[w] for w in WORD.findall(chunk))))
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> list[tuple]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma is lowered like any other
         # str.split() also splits at the four separators below, which are no white space here
         parts = _SPACE.split(text.lower()) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.lower().split()
-        return list(chain.from_iterable(map(self.chunks.__getitem__, filter(None, parts))))
+        return list(map(self.chunks.__getitem__, filter(None, parts)))
 
-    def encode(self, text: str) -> list[int]:
+    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
+        """The text's chunks in order, each with its ids, their digits and their decoded text; none without ids."""
         if "<|" not in text:
-            return self._plain(text)
-        out: list[int] = []
-        for part in self.cut.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out += self._plain(part)
-        return out
+            out = self._plain(text)
+        else:
+            out = []
+            for part in self.cut.split(text):
+                if part in self.special:
+                    out.append(self._piece((self.special[part],)))
+                elif part:
+                    out += self._plain(part)
+        return [piece for piece in out if piece[0]]
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable([piece[0] for piece in self.pieces(text)]))
 
     def decode(self, ids) -> str:
         return " ".join(map(self.token.__getitem__, ids))
@@ -156,9 +170,9 @@ def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; each text is encoded and its ids decoded."""
 
     def row(c: Codec, text: str):
-        ids = c.encode(text)
-        spelled = " ".join(map(c.decimal.__getitem__, ids))
-        return [len(ids), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()]
+        pieces = c.pieces(text)
+        spelled, decoded = " ".join([p[1] for p in pieces]), " ".join([p[2] for p in pieces])
+        return [sum([len(p[0]) for p in pieces]), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
 
     return _mapped(docs, path, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row, [pa.int64(), pa.string(), pa.string()])
 

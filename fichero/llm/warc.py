@@ -73,29 +73,30 @@ def parsed(data: bytes) -> dict:
 
 def _compressed(batches):
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("row", "page_id", "url", "payload")))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload")))
         out = []
-        for row, page_id, url, payload in rows:
+        for page_id, url, payload in rows:
             digest = hashlib.sha1(payload).digest()
-            out.append((row, page_id, url, digest, len(payload), record("response", page_id, url, digest.hex(), len(payload), payload)))
-        columns = list(zip(*out)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["row", "page_id", "url", "digest", "size", "data"])
+            out.append((page_id, url, digest, len(payload), record("response", page_id, url, digest.hex(), len(payload), payload)))
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["page_id", "url", "digest", "size", "data"])
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
     """Write a record per row and return the index: file, offset, length, url, digest, page_id, record_type.
 
     Null html is the empty payload; a null url is left out of its record; rows without an id are named by an empty
-    number. Of equal payloads of at least ``least`` bytes the row with the largest id is the response (the last such
-    row of the table, if that id repeats). An empty table writes no archive.
+    number. Of equal payloads of at least ``least`` bytes the row with the largest id is the response (of
+    several such rows that with the largest url); rows that repeat in id, url and payload are all responses, so nothing
+    hangs on the order or number of rows and every row that is referred to is written. An empty table writes no archive.
     """
     spark = prepared(pages.sparkSession)
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     digest = F.unhex(F.sha1("payload"))
-    kept = rows.where(F.octet_length("payload") >= least).groupBy(digest.alias("digest")).agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("kept.page_id").alias("to"), F.col("kept.row").alias("to_row"))
-    moved = rows.mapInArrow(_compressed, "row long, page_id long, url string, digest binary, size long, data binary").join(kept, "digest", "left")
-    again = F.col("to_row").isNotNull() & (F.col("to_row") != F.col("row"))
+    kept = rows.where(F.octet_length("payload") >= least).groupBy(digest.alias("digest")).agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("last.page_id").alias("to"), F.col("last.url").alias("to_url"), "n")
+    moved = rows.mapInArrow(_compressed, "page_id long, url string, digest binary, size long, data binary").join(kept, "digest", "left")
+    again = F.col("n").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("to")) & F.col("url").eqNullSafe(F.col("to_url")))
     moved = moved.select("page_id", "url", "digest", "size", F.when(~again, F.col("data")).alias("data"), F.when(again, F.col("to")).alias("to"), again.alias("again"))
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
 

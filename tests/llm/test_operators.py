@@ -227,6 +227,15 @@ def test_bpe(docs):
     for r in bpe.digests(docs.withColumn("again", F.col("text")), VOCABULARY).collect():
         ids = plain.encode(r.again or "", add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(plain.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_a_full_memory_keeps_what_is_asked_for_again(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    made = []
+    memory = bpe._Remembered(lambda k: made.append(k) or k.upper())
+    assert [memory[k] for k in "abcdaebafa"] == list("ABCDAEBAFA")
+    assert made.count("a") == 1 and len(memory) <= 3 and len(memory.old) <= 3
 
 
 def test_warc(spark, tmp_path):
@@ -247,6 +256,17 @@ def test_warc(spark, tmp_path):
     assert sorted((r.page_id, r.payload_bytes) for r in some) == [(3, 3007), (6, 0)]
 
 
+def test_warc_of_tables_that_are_not_stored(spark):
+    """Rows that are dealt anew at every reading: every revisit refers to a response that was written."""
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.concat((F.col("id") % 20).cast("string"), F.lit("-")), 700).alias("html"))
+    for given in (pages.repartition(4), pages.distinct(), pages.where("page_id < 300").union(pages.where("page_id >= 300")).repartition(3, "html")):
+        index = warc.write_archives(given)
+        read = warc.read_records(index).collect()
+        stored = {r.page_id for r in read if r.record_type == "response"}
+        assert len(read) == 600 and stored == set(range(580, 600))
+        assert {r.refers_to for r in read if r.record_type == "revisit"} <= stored
+
+
 def test_mixing(docs, spark, tmp_path):
     got = mixing.mix(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
