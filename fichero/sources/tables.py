@@ -1,4 +1,4 @@
-"""Table sources and snapshot sinks."""
+"""Table sources."""
 
 from __future__ import annotations
 
@@ -6,20 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Read a Parquet table; a scan with fewer splits than cores is spread over all of them.
-
-    Text work costs far more than the scan. On a large table there are many splits and the plan stays
-    a plain scan; only a table of very few row groups pays one small shuffle.
-    """
+    """Some columns of a Parquet table."""
     df = spark.read.parquet(path)
-    df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def write_licences(paragraphs: DataFrame, path: str) -> None:
-    """One folder per output name prefix is too many files at scale; rows are clustered by licence instead."""
-    (
-        paragraphs.repartition("output_name").sortWithinPartitions("output_name", "paragraph_no", "block_no")
-        .write.mode("overwrite").parquet(path)
-    )
+    return df.select(*columns) if columns else df

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fichero.functions.text import blank
 from fichero.plans import extraction as x
+from fichero.session import shared_folder
+from fichero.sources import cache
+from fichero.streaming import dead_letters as dead
+from fichero.streaming.arrivals import run_available
 from workload.inputs import EQUIPMENT_SQL, HEADERS_SQL, equipment, headers, table
 
 # Fields of a piece of equipment in replies, and the input column each is made of.
@@ -136,19 +142,58 @@ def extraction_cache(spark, d):
 
 
 def cached_or_extracted(spark, d):
-    done = x.cached_or_extracted(licence_texts(spark, d), extraction_cache(spark, d))
+    return _looked_up(x.cached_or_extracted(licence_texts(spark, d), extraction_cache(spark, d)))
+
+
+def _looked_up(done):
     return done.select("file_id", F.col("from_cache").cast("string").alias("from_cache"), F.col("licence")["FECHA"].alias("fecha"), F.col("licence")["MARCA"].alias("marca"))
 
 
 def cache_snapshot(spark, d):
     new = x.cache_entries(parsed(spark, d).filter("prio IN ('2-HIGH', '3-MEDIUM')"), F.lit("2024-06-30T00:00:00Z"))
-    snapshot = x.newest_cache(extraction_cache(spark, d), new)
-    return snapshot.select(
+    return _snapshot(x.newest_cache(extraction_cache(spark, d), new))
+
+
+def _snapshot(entries):
+    return entries.select(
         "cache_key", "stored_at", F.col("licence")["RADICADO"].alias("radicado"),
         F.size(F.from_json(F.col("licence")["EQUIPOS"], x.EQUIPMENT_LIST)).cast("long").alias("n_equipment"),
     )
 
 
+def _stored_cache(spark, d):
+    store = cache.extraction_cache(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}")
+    return cache.start_cache(store, extraction_cache(spark, d))
+
+
+def stored_cache(spark, d):
+    """The same entries as a stored cache that a second run adds to, once though given twice."""
+    store = _stored_cache(spark, d)
+    new = x.cache_entries(parsed(spark, d).filter("prio IN ('2-HIGH', '3-MEDIUM')"), F.lit("2024-06-30T00:00:00Z"))
+    for _ in range(2):
+        cache.store_entries(store, new, 0)
+    return _snapshot(store.read())
+
+
+def stored_cache_lookups(spark, d):
+    return _looked_up(cache.cached_or_extracted_from(_stored_cache(spark, d), licence_texts(spark, d)))
+
+
+def replayed_letters(spark, d):
+    """Replies as a stream: those that cannot be read wait as letters, are mended, and are replayed once."""
+    folder = f"{shared_folder(spark)}/letters-{uuid.uuid4().hex}"
+    replies(spark, d).select("file_id", "raw").write.parquet(f"{folder}/in")
+    letters = dead.dead_letters(spark, f"{folder}/dead")
+    stream = spark.readStream.schema("file_id string, raw string").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    run_available(stream, f"{folder}/state", dead.isolated(x.parse_replies, letters, f"{folder}/out"))
+    mended = lambda waiting: waiting.withColumn("raw", F.concat("raw", F.lit("}]}")))
+    for mend, batch in ((lambda waiting: waiting, 1_000_000), (mended, 1_000_001), (mended, 1_000_001)):
+        dead.replay(letters, lambda rows: x.parse_replies(rows.withColumn("raw", F.regexp_replace("raw", r"\[\{\d+\}", "[{}"))), f"{folder}/out", batch, mend)
+    done = spark.read.option("mergeSchema", "true").parquet(f"{folder}/out").groupBy("file_id").agg(F.count("*").alias("n_results"), F.max(F.col("licence")["FECHA"]).alias("fecha"))
+    state = letters.read().select("file_id", F.col("attempts").cast("long").alias("attempts"), F.col("waiting").cast("string").alias("waiting"))
+    return done.join(state, "file_id", "full").fillna({"attempts": 0, "waiting": "never"})
+
+
 def new_documents(spark, d):
     files = licence_files(spark, d).select("file_id", "file_name", "radicado")
     return x.without_cached_file(files, extraction_cache(spark, d)).select("file_id", "radicado")
@@ -213,8 +258,12 @@ QUERIES = {
     "cache_snapshot": (cache_snapshot, f"""WITH {FILES_SQL} SELECT radicado || '__' || file_id AS cache_key,
         CASE WHEN min(prio) = '1-URGENT' THEN '2024-01-01T00:00:00Z' ELSE '2024-06-30T00:00:00Z' END AS stored_at, radicado, max(n) AS n_equipment
         FROM files WHERE prio IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY radicado, file_id"""),
+    "replayed_letters": (replayed_letters, f"""WITH {FILES_SQL} SELECT file_id, CAST(1 AS BIGINT) AS n_results, CASE WHEN {_BROKEN} THEN 'x' ELSE fecha END AS fecha,
+        CAST(CASE WHEN {_BROKEN} THEN 3 ELSE 0 END AS BIGINT) AS attempts, CASE WHEN {_BROKEN} THEN 'false' ELSE 'never' END AS waiting FROM files"""),
     "new_documents": (new_documents, f"WITH {FILES_SQL} SELECT file_id, radicado FROM files WHERE prio NOT IN ('1-URGENT', '2-HIGH')"),
     "house_style": (house_style, f"""WITH {HEADERS_SQL} SELECT radicado, 'ESE ' || n_name AS sede,
         CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'O' THEN 'NO REGISTRA' ELSE RESOLUCION END AS serie,
         CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderpriority = '1-URGENT' THEN 'REI' ELSE 'REVISAR' END AS control FROM headers"""),
 }
+QUERIES["stored_cache"] = (stored_cache, QUERIES["cache_snapshot"][1])
+QUERIES["stored_cache_lookups"] = (stored_cache_lookups, QUERIES["cached_or_extracted"][1])

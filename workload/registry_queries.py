@@ -60,6 +60,13 @@ def master_rows(spark, d):
     )
 
 
+def missing_columns(spark, d):
+    """Columns an ingest of orders, lines and documents asks for that the given tables do not have."""
+    wanted = {"orders": ["o_orderkey", "o_orderdate", "o_radicado"], "lineitem": ["l_orderkey", "l_serie", "l_linenumber"], "documents": ["doc_id", "text", "archivo"]}
+    found = [blocks.missing_columns(spark, table(spark, d, name).columns, required).select(F.lit(name).alias("name"), "missing") for name, required in wanted.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def empty_rows(spark, d):
     return master(spark, d).filter(blocks.row_is_empty(HEADERS)).select("row_num")
 
@@ -128,8 +135,12 @@ def _merged(spark, d):
     return up.upsert(stored(incoming(spark, d)), stored(registered(spark, d)), LAYOUT, STAMP)
 
 
+def merged_audit(spark, d):
+    return _merged(spark, d)[1]
+
+
 def upsert_audit(spark, d):
-    audit = _merged(spark, d)[1]
+    audit = merged_audit(spark, d)
     return audit.select("incoming_id", "radicado", "action", "row", *[F.array_join(c, ",").alias(c) for c in ("filled", "skipped", "missing")])
 
 
@@ -267,6 +278,9 @@ QUERIES = {
     "master_rows": (master_rows, f"""WITH {SHEET_SQL} SELECT row_num, CASE WHEN hollow THEN '' ELSE radicado END AS radicado, CASE WHEN hollow THEN '' ELSE file_name END AS archivo,
         CASE WHEN hollow THEN '' ELSE CAST(item AS VARCHAR) END AS item, CASE WHEN hollow THEN '' ELSE tipo END AS tipo, CASE WHEN hollow THEN '' ELSE marca END AS marca,
         CASE WHEN hollow THEN '' ELSE modelo END AS modelo, CASE WHEN hollow THEN '' ELSE serie END AS serie, CASE WHEN hollow THEN '' ELSE tubo END AS tubo, sede, etiqueta, '' AS actualizado FROM sheet"""),
+    "missing_columns": (missing_columns, """SELECT name, missing FROM (VALUES ('orders', 'o_orderkey'), ('orders', 'o_orderdate'), ('orders', 'o_radicado'), ('lineitem', 'l_orderkey'), ('lineitem', 'l_serie'),
+        ('lineitem', 'l_linenumber'), ('documents', 'doc_id'), ('documents', 'text'), ('documents', 'archivo')) w(name, missing)
+        WHERE (name, missing) NOT IN (SELECT 'orders', column_name FROM (DESCRIBE orders) UNION ALL SELECT 'lineitem', column_name FROM (DESCRIBE lineitem) UNION ALL SELECT 'documents', column_name FROM (DESCRIBE documents))"""),
     "empty_rows": (empty_rows, f"WITH {SHEET_SQL} SELECT row_num FROM sheet WHERE hollow"),
     "placeholder_cells": (placeholder_cells, f"""WITH {EQUIPMENT_SQL} SELECT file_id, CAST(item AS BIGINT) AS item,
         CAST(SERIE IN ('', 'NO REGISTRA') AS BIGINT) AS serie, CAST(MARCA_TUBO = 'no aplica' AS BIGINT) AS marca_tubo, CAST(MODELO_TUBO = '' AS BIGINT) AS modelo_tubo,
