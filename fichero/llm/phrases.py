@@ -7,8 +7,9 @@ semi-join with the frequent groups, to be extended next. The first relation is t
 
 Words are 64-bit ids, hashed with their language; the counted words prove that no two share an id, or the hash gets
 another seed. A phrase is the list of its ids, so counts are exact. The semi-join sends a Bloom filter of the frequent
-groups of at most MAX_BITS bits to the tasks: what it lets through in excess is counted and dropped again, so its size
-never shows in the result, and the occurrences stay where they lie; only groups and counts are shuffled.
+groups of at most MAX_BITS bits to the tasks, and groups are counted one by one only where one of COUNTERS shared
+counters says that they may be frequent. What either lets through in excess is counted and dropped again, so their
+sizes never show in the result, and the occurrences stay where they lie; only groups and counts are shuffled.
 """
 
 from __future__ import annotations
@@ -42,9 +43,13 @@ _RELATION = "at array<int>, words array<long>"
 _RELATION_ARROW = pa.schema([("at", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))])
 _GROUPS = "words array<long>, n long"
 _GROUPS_ARROW = pa.schema([("words", pa.list_(pa.int64())), ("n", pa.int64())])
+_COUNTER_ROWS = "at array<long>, n array<long>"
+_COUNTERS_ARROW = pa.schema([("at", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 _KEYED = "key long, words array<long>, n long"
 #: Groups a task gathers before it gives them out.
 _HELD = 1 << 20
+#: Counters that groups of three and more words share before they are counted one by one, and sets of them added up by one task.
+COUNTERS, _FAN_IN = 1 << 21, 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -205,7 +210,63 @@ def _extended(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np
     return at[left], np.concatenate((words[left], words[left + 1, -1:]), axis=1), documents[left]
 
 
-def _count_extended(k: int):
+def _counters(k: int, size: int):
+    """How many occurrences of k + 1 words fall on each of ``size`` counters: one row per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for batch in batches:
+            counts += np.bincount(phrase_keys(_extended(batch, k)[1]) & (size - 1), minlength=size)
+        yield from _counter_rows(counts, 1)
+
+    return run
+
+
+def _counter_rows(counts: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(counts >= least)
+    for cut in range(0, len(at), 1 << 16):
+        part = at[cut : cut + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in (part, counts[part])], schema=_COUNTERS_ARROW)
+
+
+def _summed(size: int, least: int):
+    """Counters of several tasks added up, which leaves one set per task of this step; lower ones than ``least`` go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for batch in batches:
+            for at, n in zip(batch.column("at"), batch.column("n")):
+                np.add.at(counts, at.values.to_numpy(), n.values.to_numpy())
+        yield from _counter_rows(counts, least)
+
+    return run
+
+
+class Likely:
+    """Which groups of k + 1 words may occur ``least`` times, by COUNTERS counters that many groups share.
+
+    A counter is never below the count of one of its groups, so no frequent group is missed; groups it lets through in
+    excess are counted exactly like the others. Tasks' counters are added up by a few tasks, ``_FAN_IN`` to one, until one
+    set of bounded size is left to be sent out.
+    """
+
+    def __init__(self, relation: DataFrame, k: int, least: int):
+        sets = staged(relation.mapInArrow(_counters(k, COUNTERS), _COUNTER_ROWS), "counters")
+        tasks = 0
+        while tasks != 1:
+            tasks = -(-sets.rdd.getNumPartitions() // _FAN_IN)
+            sets = staged(sets.coalesce(tasks).mapInArrow(_summed(COUNTERS, least if tasks == 1 else 1), _COUNTER_ROWS), "counters")
+        bits = np.zeros(COUNTERS, bool)
+        for row in sets.select("at").collect():  # one set of COUNTERS at most
+            bits[row["at"]] = True
+        self.sent = relation.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & (COUNTERS - 1)
+        return (self.sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _count_extended(k: int, likely: Likely):
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         words, n = (np.concatenate(c) for c in zip(*parts))
         keys = phrase_keys(words)
@@ -217,6 +278,7 @@ def _count_extended(k: int):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             words = _extended(batch, k)[1]
+            words = words[likely.has(phrase_keys(words))]
             first, n = _groups(phrase_keys(words), *words.T)
             held.append((words[first], n))
             if sum(len(n) for _, n in held) > _HELD:
@@ -273,7 +335,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, text_col: str =
     groups, relation = pairs.select(F.array("first", "second").alias("words"), "n"), None
     for k in range(2, longest + 1):
         if k > 2:
-            groups = relation.mapInArrow(_count_extended(k - 1), _GROUPS).groupBy("words").agg(F.sum("n").alias("n"))
+            groups = relation.mapInArrow(_count_extended(k - 1, Likely(relation, k - 1, least)), _GROUPS).groupBy("words").agg(F.sum("n").alias("n"))
         groups = staged(groups.where(F.col("n") >= least).mapInArrow(_keyed(k), _KEYED), "groups")
         levels.append(groups.select("words", "n"))
         if k < longest:

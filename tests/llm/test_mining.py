@@ -160,7 +160,9 @@ def test_words_that_share_an_id_get_another_seed(spark, monkeypatch):
 def test_a_full_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases, "MAX_BITS", 6)
     monkeypatch.setattr(phrases, "MIN_BITS", 6)
+    monkeypatch.setattr(phrases, "COUNTERS", 4)
+    monkeypatch.setattr(phrases, "_FAN_IN", 2)
     draw = random.Random(9)
     docs = [(" ".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=60)), "en") for _ in range(20)]
     table = spark.createDataFrame(docs, "text string, lang string")
-    assert sorted(tuple(r) for r in phrases.collocations(table, least=3).collect()) == collocated(docs, 5, 3, 2000, 100)
+    assert sorted(tuple(r) for r in phrases.collocations(table.repartition(7), least=3).collect()) == collocated(docs, 5, 3, 2000, 100)
