@@ -251,6 +251,7 @@ class Likely:
     """
 
     def __init__(self, relation: DataFrame, k: int, least: int):
+        self.size = COUNTERS
         sets = staged(relation.mapInArrow(_counters(k, COUNTERS), _COUNTER_ROWS), "counters")
         tasks = 0
         while tasks != 1:
@@ -262,7 +263,7 @@ class Likely:
         self.sent = relation.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & (COUNTERS - 1)
+        at = keys & (self.size - 1)
         return (self.sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
