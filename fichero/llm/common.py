@@ -21,25 +21,28 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is named (tests)."""
+    """The folder all executors share, as the session names it; one of our own only where all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fichero-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number ``_row`` per row, written once: a second scan may be split otherwise and would number rows anew."""
-    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", "zstd")
 
 
 def bucket_of(id_col: str, parts: int) -> Column:

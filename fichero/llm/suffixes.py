@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from fichero.llm.common import numbered, partitions, prepared, staged
 
 LENGTH, GRAM = 200, 48
-#: Occurrences above which a gram's windows are sorted one by one; entries of a run; bytes hashed at once.
-HOT, RUN, BLOCK = 4096, 32_768, 1 << 19
+#: Occurrences above which a gram's windows are sorted one by one; entries of a run; bytes hashed at once; marked anchors of a part.
+HOT, RUN, BLOCK, PART = 4096, 32_768, 1 << 19, 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict = {}
@@ -101,7 +101,7 @@ def _anchored(held, width: int, length: int):
 def _gram_rows(length: int):
     def run(batches):
         for batch in batches:
-            rows = batch.column("row").to_numpy()
+            rows = batch.column("_row").to_numpy()
             for text, _, _, _, h in anchors(batch.column("_text").to_pylist(), length):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[text]), pa.array(h)], names=["row", "h"])
 
@@ -141,6 +141,14 @@ def unpack(run: bytes):
         tail, left, at = tail + rest, left + before, at + size
 
 
+def _compressed(run: bytes) -> bytes:
+    return len(run).to_bytes(4, "little") + pa.Codec("zstd").compress(run, asbytes=True)
+
+
+def _decompressed(run: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(run[4:], int.from_bytes(run[:4], "little"), asbytes=True)
+
+
 def merged(runs: list[bytes]):
     """All entries of all runs in order, each with its common prefix with the entry before, by a loser tree.
 
@@ -240,11 +248,11 @@ def _runs(length: int, parts: int):
 
         def out():
             keys = list(held)
-            blobs = [pack([(s, b, m) for (s, b), m in sorted(held[k].items())]) for k in keys]
+            blobs = [_compressed(pack([(s, b, m) for (s, b), m in sorted(held[k].items())])) for k in keys]
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "hot", "run"])
 
         for batch in batches:
-            rows, texts = batch.column("row").to_pylist(), batch.column("_text").to_pylist()
+            rows, texts = batch.column("_row").to_pylist(), batch.column("_text").to_pylist()
             twice, hot = batch.column("twice").to_pylist(), batch.column("hot").to_pylist()
             wanted = [set(t) for t in twice]
             many = [set(t) for t in hot]
@@ -288,7 +296,7 @@ def _ranges(length: int):
                     ends.append(members[:, 1] - low + length)
 
         group: list[tuple] = []
-        for entry in merged(table.column("run").to_pylist()):
+        for entry in merged([_decompressed(run.as_py()) for run in table.column("run")]):
             if group and entry[1] < together:
                 close(group)
                 group = []
@@ -302,14 +310,20 @@ def _ranges(length: int):
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, start, end): the bytes of ``docs(row long, _text binary)`` under windows that occur twice or more; ranges may overlap."""
+    """(row, start, end): the bytes of ``docs(_row long, _text binary, ...)`` under windows that occur twice or more; ranges may overlap.
+
+    The runs are made from whole rows of ``docs``, further columns and all, so that a caller who joins the ranges to
+    ``docs`` by ``_row`` moves the texts once: Spark uses the same exchange for both joins.
+    """
     spark = prepared(docs.sparkSession)
-    grams = staged(docs.where(F.octet_length("_text") >= length).mapInArrow(_gram_rows(length), "row long, h long"), "grams")
+    grams = staged(docs.where(F.octet_length("_text") >= length).select("_row", "_text").mapInArrow(_gram_rows(length), "row long, h long"), "grams")
     # written, so that the join below deals both sides out by itself and Spark can split a gram that very many windows share
     twice = staged(grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    marked = grams.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("twice"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot"))
-    parts = partitions(spark)
-    runs = docs.join(marked, "row").mapInArrow(_runs(length, parts), "part int, hot boolean, run binary")
+    hashes = grams.join(twice, "h").groupBy(F.col("row").alias("_row"))
+    marked = hashes.agg(F.collect_set("h").alias("twice"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot"))
+    # a part holds a bounded number of anchors; a task merges one part after the other
+    parts = max(partitions(spark), -(-(twice.agg(F.sum("n")).first()[0] or 0) // PART))
+    runs = docs.join(marked.hint("merge"), "_row").mapInArrow(_runs(length, parts), "part int, hot boolean, run binary")
     return runs.groupBy("part", "hot").applyInArrow(_ranges(length), "row long, start long, end long")
 
 
@@ -336,25 +350,32 @@ def _cut(carried: list[str]):
 ADDED = ["_n_bytes", "_n_removed", "_n_spans", "_kept"]
 
 
+def _deduplicated(docs: DataFrame, text_col: str, length: int, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns by place (c0, c1, ...), so that no name of theirs meets one of ours, and ``ADDED``."""
+    if length < 2 * GRAM or length > 255 * 8:
+        raise ValueError(f"length must lie between {2 * GRAM} and {255 * 8}")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    places = [f"c{i}" for i in range(len(carried))]
+    kept = numbered(docs.select(text.alias("_text"), *(F.col(f"`{c}`").alias(p) for c, p in zip(carried, places)))).where("_row is not null")
+    spans = repeats(kept, length).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    # the exchange of the texts is that of the runs' join, with all that is carried: texts move once
+    whole = kept.join(spans.hint("merge"), "_row", "left").drop("_row")
+    schema = ", ".join([*(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(carried, places)), *(f"{c} {t}" for c, t in zip(ADDED, ("long", "long", "long", "binary")))])
+    return whole.mapInArrow(_cut(places), schema)
+
+
 def deduplicated(docs: DataFrame, text_col: str = "text", length: int = LENGTH, carried: list[str] | None = None) -> DataFrame:
     """The ``carried`` columns of every row (all but the text, unless named) with ``ADDED``: bytes, bytes removed, maximal
     removed runs, and what is left of the text once strings of ``length`` bytes that also start elsewhere are cut out.
 
     Null texts count as empty; texts shorter than ``length`` stay whole; all copies of a repeated string go, in
     repeated rows too. ``_kept`` is binary, for a cut may fall inside a character. An empty table gives an empty table.
-    Rows are numbered once and written with the columns needed; every later step reads them there.
+    Rows are numbered once and written with the columns needed; every later step reads them there. Carried columns
+    that are named like one of ``ADDED`` give way to it.
     """
-    if length < 2 * GRAM or length > 255 * 8:
-        raise ValueError(f"length must lie between {2 * GRAM} and {255 * 8}")
-    carried = [c for c in docs.columns if c != text_col] if carried is None else carried
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    kept = numbered(docs.select(text.alias("_text"), *carried))
-    own = kept.select(F.col("_row").alias("row"), "_text")
-    spans = repeats(own, length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("row", "_row")
-    # texts move once for this join, with all that is carried: nothing has to be joined to them again
-    whole = kept.join(spans, "_row", "left").drop("_row")
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), *(f"{c} {t}" for c, t in zip(ADDED, ("long", "long", "long", "binary")))])
-    return whole.mapInArrow(_cut(carried), schema)
+    carried = [c for c in (docs.columns if carried is None else carried) if c != text_col and c not in ADDED]
+    rows = _deduplicated(docs, text_col, length, carried)
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carried)), *ADDED)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -362,7 +383,10 @@ def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Where a cut falls inside a character, what is left of it becomes U+FFFD; a null text becomes the empty one.
     """
-    rows = deduplicated(docs, text_col).withColumn(text_col, F.make_valid_utf8(F.col("_kept").cast("string")))
+    carried = [c for c in docs.columns if c not in (text_col, "n_chars")]
+    rows = _deduplicated(docs, text_col, LENGTH, carried)
+    made = {c: F.col(f"c{i}") for i, c in enumerate(carried)}
+    made[text_col] = F.make_valid_utf8(F.col("_kept").cast("string"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.length(made[text_col]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(made[c].alias(c) for c in docs.columns))
