@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from fichero.llm.common import prepared
+from fichero.llm.common import prepared, private
 
 #: Words with more characters than this merge through the heap; words and chunks a task remembers.
 SHORT, REMEMBERED = 128, 200_000
@@ -181,13 +181,14 @@ def _mapped(docs: DataFrame, path: str, text_col: str, added: str, row, types) -
     prepared(docs.sparkSession)
     names = [a.split()[0] for a in added.split(", ")]
     kept = [c for c in docs.columns if c not in (text_col, *names)]
+    own = private(docs, "_text")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), added])
 
     def run(batches):
         c = codec(path)
         for batch in batches:
-            found = [row(c, t or "") for t in batch.column("_text").to_pylist()]
+            found = [row(c, t or "") for t in batch.column(own).to_pylist()]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *columns], names=[*kept, *names])
 
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias(own)).mapInArrow(run, schema)

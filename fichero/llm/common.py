@@ -40,9 +40,17 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number ``_row`` per row, written once: a second scan may be split otherwise and would number rows anew."""
-    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", "zstd")
+def private(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` is called so (Spark compares names without case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` with a number ``name`` per row, written once: a second scan may be split otherwise and would number rows anew."""
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows", "zstd")
 
 
 def bucket_of(id_col: str, parts: int) -> Column:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fichero.llm.common import prepared
+from fichero.llm.common import prepared, private
 
 DIMENSIONS, SEED = 1024, 20_011
 #: Letters as symbols: 0 is the space between words, a to z are 1 to 26, all others share 27 to 63 by code point.
@@ -126,13 +126,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names]).T.astype(np.float32) if names else None
     kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    own = private(docs, "_text")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string", "score double"])
 
     def run(batches):
         for batch in batches:
             langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if matrix is not None:
-                for start, vectors in _vectors(batch.column("_text").to_pylist()):
+                for start, vectors in _vectors(batch.column(own).to_pylist()):
                     norms = np.linalg.norm(vectors, axis=1)
                     cosines = (vectors @ matrix) / np.maximum(norms, 1e-9)[:, None]
                     best = cosines.argmax(axis=1)
@@ -141,7 +142,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                         scores[start + row] = min(1.0, max(0.0, float(cosines[row, best[row]])))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(langs, pa.string()), pa.array(scores)], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias(own)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fichero.llm.common import numbered, prepared, staged
+from fichero.llm.common import numbered, prepared, private, staged
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents of a block; blocks whose rest meets in the next round.
@@ -127,8 +127,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: every document as often as it has copies, none where it has no copy."""
-    rows = numbered(docs)
-    copies = staged(mix(rows, id_col, text_col, source_col, row_col="_row").where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "copies")
+    row, times, copy = private(docs, "_row"), private(docs, "_copies"), private(docs, "_copy")
+    rows = numbered(docs, row)
+    copies = staged(mix(rows, id_col, text_col, source_col, row_col=row).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times)), "copies")
     # dealt out by row at every size: the rows taken grow with the input and are never sent to every task
-    rows = rows.join(copies.hint("merge"), "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    rows = rows.join(copies.hint("merge"), row)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)

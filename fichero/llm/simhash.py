@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fichero.llm.common import numbered, prepared, staged
+from fichero.llm.common import numbered, prepared, private, staged
 from fichero.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id."""
-    rows = numbered(docs)
-    kept = staged(near_duplicates(rows, id_col, text_col, row_col="_row").where("kept").select(F.col("row").alias("_row")), "kept")
+    row = private(docs, "_row")
+    rows = numbered(docs, row)
+    kept = staged(near_duplicates(rows, id_col, text_col, row_col=row).where("kept").select(F.col("row").alias(row)), "kept")
     # dealt out by row at every size: the rows kept grow with the input and are never sent to every task
-    return rows.join(kept.hint("merge"), "_row", "left_semi").drop("_row")
+    return rows.join(kept.hint("merge"), row, "left_semi").drop(row)
