@@ -1,9 +1,12 @@
 """Each operator against a plain computation on small tables with nulls, empty and long texts, ties and repeats."""
 
+import functools
 import hashlib
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -331,14 +334,109 @@ def test_context_trees(docs, rows):
         assert r.held_out == (r.doc_id is not None and r.doc_id % 3 == 0)
 
 
-def test_context_tree_is_a_distribution():
+def plain_context_tree(train, texts):
+    """log10 probability of each text, by recursion over the tree of every decision."""
+    coded = lambda t: b"\0" * ctw.DEPTH + (t or "").encode().lower() + b"\xff"
+    counts, children = {}, {}
+
+    def decisions(data, i):
+        for level in range(8):
+            node = (1 << level) + (data[i] >> (8 - level))
+            yield node, (data[i] >> (7 - level)) & 1
+
+    for data in map(coded, train):
+        for i in range(ctw.DEPTH, len(data)):
+            for node, bit in decisions(data, i):
+                for depth in range(ctw.DEPTH + 1):
+                    context = (data[i - depth : i], node)
+                    counts.setdefault(context, [0, 0])[bit] += 1
+                    if depth:
+                        children.setdefault((data[i - depth + 1 : i], node), set()).add(context)
+
+    def own(context):
+        zeros, ones = counts.get(context, (0, 0))
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.log(math.pi) - math.lgamma(zeros + ones + 1)
+
+    @functools.cache
+    def weighted(context):
+        if len(context[0]) == ctw.DEPTH:
+            return own(context)
+        return np.logaddexp(own(context), sum(weighted(c) for c in children.get(context, ()))) - math.log(2)
+
+    def one(data, i, node, depth=0):
+        context = (data[i - depth : i], node)
+        zeros, ones = counts.get(context, (0, 0))
+        p = (ones + 0.5) / (zeros + ones + 1)
+        if depth == ctw.DEPTH:
+            return p
+        share = math.exp(own(context) - math.log(2) - weighted(context))
+        return share * p + (1 - share) * one(data, i, node, depth + 1)
+
+    def scored(data):
+        return sum(math.log10(one(data, i, node) if bit else 1 - one(data, i, node)) for i in range(ctw.DEPTH, len(data)) for node, bit in decisions(data, i))
+
+    return [scored(coded(t)) for t in texts]
+
+
+@pytest.mark.parametrize("tiny", [False, True])
+def test_context_tree_scores(docs, rows, monkeypatch, tiny):
+    if tiny:  # many chunks
+        monkeypatch.setattr(ctw, "CHUNK", 500)
+    few = docs.where("doc_id is null or doc_id % 4 = 0 or doc_id > 58").where("coalesce(length(text), 0) < 3000")
+    chosen = {r.doc_id for r in few.select("doc_id").collect()}
+    texts = [(i, t) for i, t, _ in rows if i in chosen]
+    want = plain_context_tree([t for i, t in texts if i is None or i % 3], [t for _, t in texts])
+    got = ctw.score(few, F.col("doc_id") % 3 != 0).collect()
+    key = lambda x: (-1 if x[0] is None else x[0], x[1])
+    for (i, score), (j, expected) in zip(sorted(((r.doc_id, r.score) for r in got), key=key), sorted(((i, w) for (i, _), w in zip(texts, want)), key=key), strict=True):
+        assert i == j and abs(score - expected) < 1e-5 * -expected
+
+
+def test_context_tree_is_a_distribution(spark):
     data = b"\0" * ctw.DEPTH + b"abracadabra" * 30
-    levels = []
-    for depth in range(ctw.DEPTH + 1):
-        level = {}
+    counts = {}
+    for i in range(ctw.DEPTH, len(data)):
+        code = int.from_bytes(data[i - ctw.DEPTH : i + 1], "big")
+        counts[code] = counts.get(code, 0) + 1
+    contexts = [b"abrac", b"zbrac", b"zzzac", b"zzzzz"]
+    for context in contexts:
+        for byte in range(256):
+            counts.setdefault(int.from_bytes(context + bytes([byte]), "big"), 0)
+    got = dict(map(tuple, ctw.code_lengths(spark.createDataFrame(list(counts.items()), "code long, n long")).collect()))
+    assert set(got) == set(counts)
+    for context in contexts:
+        assert abs(sum(10 ** got[int.from_bytes(context + bytes([b]), "big")] for b in range(256)) - 1) < 1e-5
+    assert sum(n * got[c] for c, n in counts.items()) > -400 * np.log10(4)
+
+
+def test_context_trees_without_training_or_rows(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in ctw.score(docs, F.lit(False)).collect()}
+    assert abs(got[1].score + 4 * np.log10(256)) < 1e-4 and abs(got[2].score + np.log10(256)) < 1e-4
+    assert got[1].train_tokens == 0 and got[1].held_out
+    assert ctw.score(docs.limit(0), F.lit(True)).collect() == []
+
+
+def test_context_codes_and_parts_in_small_pieces(monkeypatch):
+    for name, value in {"BLOCK": 20, "CODES": 4, "HELD": 9, "GIVEN": 2}.items():
+        monkeypatch.setattr(ctw, name, value)
+    texts = [(0, True, b"ABAB" * 9), (0, False, b"abc"), (0, True, None), (5, False, b""), (5, True, b"abab" * 3)]
+    want = {}
+    for chunk, train, text in texts:
+        data = b"\0" * ctw.DEPTH + (text or b"").lower() + b"\xff"
         for i in range(ctw.DEPTH, len(data)):
-            level.setdefault(int.from_bytes(data[i - depth : i], "big"), np.zeros(256))[data[i]] += 1
-        levels.append(level)
-    tree = ctw.Tree(levels)
-    assert np.allclose((10.0 ** tree.bits.reshape(-1, 256)[1:]).sum(axis=1), 1, atol=1e-4)
-    assert tree.score([data + b"\xff"])[0] > -400 * np.log10(4)
+            key = chunk, int.from_bytes(data[i - ctw.DEPTH : i + 1], "big")
+            want[key] = want.get(key, 0) + train
+    got = {}
+    names = ["chunk", "train", "_text"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=names) for part in (texts[:2], texts[2:])]
+    for batch in ctw._chunk_codes(iter(batches)):
+        assert len(batch) <= 2
+        for c, k, n in zip(*(batch.column(x).to_pylist() for x in ("chunk", "code", "n"))):
+            got[c, k] = got.get((c, k), 0) + n
+    assert got == want
+    part = [1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 4, 5]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part[i : i + 2])], names=["part"]) for i in range(0, len(part), 2)]
+    tables = [t.column("part").to_pylist() for t in ctw._parts(iter(batches))]
+    assert sum(tables, []) == part and len(tables) > 1
+    assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
