@@ -26,11 +26,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fichero.llm.common import numbered, prepared, staged
+from fichero.llm.common import numbered, partitions, prepared, staged
 
 DEPTH, SPLIT, WORDS = 5, 3, 1 << 19
 #: Bytes of texts of a chunk, on average; bytes coded at once; codes worked on at once, if parts are no larger.
-CHUNK, BLOCK, CODES = 32 << 20, 2 << 20, 200_000
+CHUNK, BLOCK, CODES = 16 << 20, 2 << 20, 200_000
 #: Distinct codes or words a task holds before it passes them on; rows of a batch given out.
 HELD, GIVEN = 1 << 20, 100_000
 END_BYTE, END = b"\xff", "\n"
@@ -85,10 +85,9 @@ def _chunk_codes(batches):
                 chunk, codes, counts = int(chunks[a]), codes[:0], counts[:0]
             for first, held in _buffers(texts[a:b]):
                 code, owner = _coded(held)
-                new = np.unique(code)
-                taught, times = np.unique(code[train[a + first + owner]], return_counts=True)
-                n = np.zeros(len(new), np.int64)
-                n[np.searchsorted(new, taught)] = times
+                # the lowest bit tells training bytes, so one sort counts both kinds
+                marked, times = np.unique((code << 1) | train[a + first + owner], return_counts=True)
+                new, n = marked >> 1, times * (marked & 1)
                 codes, where = np.unique(np.concatenate((codes, new)), return_inverse=True)
                 counts = np.bincount(where, np.concatenate((counts, n)), len(codes)).astype(np.int64)
                 if len(codes) > HELD:
@@ -295,7 +294,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         held_out = pa.array([not t for t in texts_.column("train").to_pylist()], pa.bool_())
         return pa.Table.from_arrays([texts_.column("row"), texts_.column(id_col), held_out, pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(np.concatenate(scores)), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], names=names)
 
-    scored = staged(rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, f"row long, `{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, known double, score double, rare array<string>, times array<long>"), "scored")
+    parts = max(partitions(spark), (size or 0) // CHUNK)  # a task gets about one chunk, however many there are
+    scored = staged(rows.repartition(parts, "chunk").groupBy("chunk").cogroup(found.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(run, f"row long, `{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, known double, score double, rare array<string>, times array<long>"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("value"))
     out = scored.drop("rare", "times").join(met, "row", "left")
