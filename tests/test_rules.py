@@ -105,3 +105,8 @@ def test_numbers_of_documents_and_equipment(spark):
     got = sorted((r["doc_id"], r["licence_number"], r["n_equipment"], r["split"]) for r in heads)
     assert got == [("a", "1", 2, False), ("b", "7", 1, True), ("b", "8", 1, True), ("d", "9", 1, False), ("e", "5", 1, False)]
     assert [tuple(r) for r in licences.unnumbered_documents(docs, equipment).collect()] == [("c", 2, "filing number missing")]
+
+
+def test_house_style_knows_the_quality_bodies(spark):
+    ruled = extraction.house_style(F.create_map(F.lit("CONTROL CALIDAD"), F.col("c")))["CONTROL CALIDAD"]
+    assert [one(spark, ruled, c=v) for v in (" UNAL ", "Radioprotección e Ingeniería SAS", "Otro", None)] == [" UNAL ", "REI", "REVISAR", "REVISAR"]
