@@ -110,3 +110,20 @@ def test_numbers_of_documents_and_equipment(spark):
 def test_house_style_knows_the_quality_bodies(spark):
     ruled = extraction.house_style(F.create_map(F.lit("CONTROL CALIDAD"), F.col("c")))["CONTROL CALIDAD"]
     assert [one(spark, ruled, c=v) for v in (" UNAL ", "Radioprotección e Ingeniería SAS", "Otro", None)] == [" UNAL ", "REI", "REVISAR", "REVISAR"]
+
+
+def test_cells_read_alike_with_and_without_accents(spark):
+    c = F.col("c")
+    assert [one(spark, text.strip_accents(c), c=v) for v in ("MARCA", "Año", "é", "日本", "", None)] == ["MARCA", "Ano", "e", "日本", "", None]
+    assert [one(spark, checklist.equipment_number(c), c=v) for v in ("Equipo No. 3", "equipo", "", "EQUIPO 99999999999", None)] == [3, None, None, None, None]
+    pair = checklist.inline_pair(c)
+    assert [one(spark, pair["value"], c=v) for v in ("MARCA: x", "Otra\nuna \n dos", "una dos", "sin corte", "\n sola \n")] == ["x", "una dos", "dos", None, None]
+    cells = F.array(F.lit("*"), F.lit("Équipo_2"), c)
+    heading = spark.createDataFrame([("nota",), ("",)], "c string").select(F.lit(1).alias("doc_id"), F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), cells.alias("cells"))
+    assert [r["heading"] for r in checklist.read_rows(heading).collect()] == [True, True]
+
+
+def test_dates_of_another_form_are_not_cast(spark):
+    plan = spark.createDataFrame([("x",)], "c string").select(dates.resolution_day(F.col("c")).alias("d"))
+    assert plan.collect()[0]["d"] is None
+    assert one(spark, dates.resolution_day(F.col("c"))["month"], c="1/99/2024") is None
