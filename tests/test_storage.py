@@ -1,5 +1,6 @@
 """Stored cache, files as results, dead letters, run ledger, pages of reports and gap patterns on small tables."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,29 @@ def test_a_failed_job_leaves_no_visible_file(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("files-*/f*"))) == 39 and not list((tmp_path / "out").glob("_job-*"))
 
 
+def test_written_files_are_read_by_folders_not_one_by_one(spark, tmp_path):
+    rows = spark.range(9000).repartition(2).select(F.concat(F.lit("f"), "id").alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+    files.write_files(rows, str(tmp_path / "out"))
+    read = files.read_files(spark, str(tmp_path / "out"))
+    assert read.rdd.getNumPartitions() <= 4  # a scan of the files would deal out 32 or so a task
+    assert {(r["name"], bytes(r["content"])) for r in read.collect()} == {(f"f{i}", str(i).encode()) for i in range(9000)}
+    assert all(len(list(p.iterdir())) <= files.FOLDER for p in (tmp_path / "out").iterdir())
+
+
+def test_a_task_that_ends_after_its_job_was_given_up_shows_nothing(tmp_path, monkeypatch):
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+        taskAttemptId = staticmethod(lambda: 7)
+
+    monkeypatch.setattr(files.TaskContext, "get", staticmethod(Task))
+    writer = files._Writer(str(tmp_path / "out"))
+    writer.abort([])
+    writer.write(iter([pa.RecordBatch.from_pydict({"name": ["a"], "content": [b"x"]})]))
+    assert {p.name.split("-")[0] for p in (tmp_path / "out").iterdir()} == {"_attempt"}
+    writer.abort([])
+    assert not list((tmp_path / "out").iterdir())
+
+
 def test_report_export_round_trip(spark, tmp_path):
     reports = spark.createDataFrame([("/q/1_a.pdf", "1", "f", "", "ñ", ["w"])], "path string, identifier string, fecha_evaluacion string, tipo_equipo string, nombre_institucion string, warnings array<string>")
     files.write_reports(quality.export_rows(reports), str(tmp_path / "json"))
