@@ -58,6 +58,13 @@ def test_written_files_are_read_by_folders_not_one_by_one(spark, tmp_path):
     assert all(len(list(p.iterdir())) <= files.FOLDER for p in (tmp_path / "out").iterdir())
 
 
+def test_a_name_that_repeats_in_a_task_is_no_lost_file(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", b"x"), ("a_b", b"y")], "name string, content binary").coalesce(1)
+    with pytest.raises(Exception, match="a_b"):
+        files.write_files(rows, str(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("files-*"))
+
+
 def test_a_task_that_ends_after_its_job_was_given_up_shows_nothing(tmp_path, monkeypatch):
     class Task:
         partitionId = staticmethod(lambda: 0)
